@@ -105,16 +105,20 @@ class Codec:
         return out
 
     def learn(self, missing: list[str]) -> None:
-        pieces = [self.find(x) for x in missing]
-        shown = [[w.encode("utf-8").decode("latin-1").translate(self.char_of) for w in ws] for ws in pieces]
-        distinct = list(dict.fromkeys(w for ws in shown for w in ws))
-        ids = {}
-        for at in range(0, len(distinct), 20_000):
-            part = distinct[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids[w] = np.array(e.ids, self.dtype).tobytes()
-        for chunk, ws in zip(missing, shown):
-            self.young[chunk] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+        """Merge chunks that no cache holds: by the library's model, piece by piece."""
+        tokenize, find, blank, known = self.tokenizer.model.tokenize, self.find, self.char_of[32], {}
+        for chunk in missing:
+            body = chunk[1:]
+            if chunk[0] == " " and body.isascii() and body.isalpha():
+                shown = [blank + body]
+            else:
+                shown = [w.encode("utf-8").decode("latin-1").translate(self.char_of) for w in find(chunk)]
+            ids = []
+            for w in shown:
+                if (own := known.get(w)) is None:
+                    known[w] = own = [x.id for x in tokenize(w)]
+                ids += own
+            self.young[chunk] = np.array(ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.chunks(t) for t in texts]
