@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, mixing, tokenstore
+from . import bpe, chatformat, exactdedup, mixing, pii, tokenstore
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatformat.digests(table(spark, sf_dir, "conversations"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.digests(table(spark, sf_dir, "documents"))
 
@@ -24,17 +28,24 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_shards(shards)
 
 
+def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_chat_format": op4_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_store": op7_token_store,
+    "op8_private_data": op8_private_data,
     "op9_source_mix": op9_source_mix,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_chat_format": chatformat.ORACLE_SQL,
     "op5_exact_dedup": exactdedup.ORACLE_SQL,
 }
