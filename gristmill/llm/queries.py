@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chatformat, exactdedup, mixing, pii, tokenstore
+from . import ann, bpe, chatformat, exactdedup, mixing, pii, tokenstore
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.every_twentieth(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = tokenstore.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return tokenstore.read_shards(shards)
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_multi_index": op6_multi_index,
     "op7_token_store": op7_token_store,
     "op8_private_data": op8_private_data,
     "op9_source_mix": op9_source_mix,
