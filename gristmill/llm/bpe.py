@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,7 +30,9 @@ from pyspark.sql import types as T
 from .common import ship
 
 #: Entries of each of the two generations of a worker's chunk cache.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
+#: White space other than blanks and line feeds.
+ODD_SPACE = re.compile(r"[^\S \n]")
 #: Bytes of text handled together.
 SLAB = 1 << 21
 
@@ -53,6 +57,21 @@ def merges_of_ranks(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return [(x[3], x[4]) for x in found]
 
 
+class ChunkCache(dict):
+    """Ids of chunks as bytes; a chunk that is in neither generation is merged on the spot."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.make, self.old = make, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        value = self.old.get(chunk)
+        if value is None:
+            value = self.make(chunk)
+        self[chunk] = value
+        return value
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file, with a bounded two-generation cache."""
 
@@ -77,67 +96,52 @@ class Codec:
             merges = [(show(a), show(b)) for a, b in merges_of_ranks(ranks)]
             whole = True
         self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=whole, cache_capacity=0))
+        self.tokenize = self.tokenizer.model.tokenize
         self.find = regex.compile(pattern).findall
         self.bytes_of = {i: bytes(self.byte_of[ord(c)] for c in t) for t, i in vocab.items() if all(ord(c) in self.byte_of for c in t)}
         self.dtype = np.dtype("<u2") if max(vocab.values(), default=0) < 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         size = max(self.bytes_of, default=-1) + 1
         self.lengths = np.zeros(size, np.int64)
         for i, raw in self.bytes_of.items():
             self.lengths[i] = len(raw)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1] if size else np.zeros(0, np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = ChunkCache(self.merge, {})
 
     def chunks(self, text: str) -> list[str]:
         """Parts of `text` that the pattern never matches across.
 
-        A blank before a word starts a match of its own.  Only a blank next to
-        another blank, or one that ends the text, can belong to a longer run of
-        white space; such texts are cut by the pattern itself.
+        A blank before a word starts a match of its own, and so does a line feed between
+        words.  Texts with longer runs of white space are cut by the pattern itself.
         """
-        if "  " in text or text.endswith(" "):
+        if "  " in text or "\n\n" in text or " \n" in text or text[-1:] in (" ", "\n") or "\0" in text or ODD_SPACE.search(text):
             return self.find(text)
-        first, *rest = text.split(" ")
-        out = [" " + x for x in rest]
-        if first:
-            out.insert(0, first)
-        return out
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def learn(self, missing: list[str]) -> None:
-        """Merge chunks that no cache holds: by the library's model, piece by piece."""
-        tokenize, find, blank, known = self.tokenizer.model.tokenize, self.find, self.char_of[32], {}
-        for chunk in missing:
+    def merge(self, chunk: str) -> bytes:
+        """Ids of one chunk: its pieces' ids, each piece merged by the library's model."""
+        if chunk[0] == " ":
             body = chunk[1:]
-            if chunk[0] == " " and body.isascii() and body.isalpha():
-                shown = [blank + body]
-            else:
-                shown = [w.encode("utf-8").decode("latin-1").translate(self.char_of) for w in find(chunk)]
-            ids = []
-            for w in shown:
-                if (own := known.get(w)) is None:
-                    known[w] = own = [x.id for x in tokenize(w)]
-                ids += own
-            self.young[chunk] = np.array(ids, self.dtype).tobytes()
+            if body.isalpha():
+                return self.piece(chunk)
+            if body[:-1].isalpha() and body[-1] in ".,":
+                return self.cache[chunk[:-1]] + self.cache[body[-1]]
+        pieces = self.find(chunk)
+        return self.piece(chunk) if len(pieces) == 1 else b"".join([self.cache[w] for w in pieces])
+
+    def piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+            shown = self.char_of[32] + piece[1:]
+        else:
+            shown = piece.encode("utf-8").decode("latin-1").translate(self.char_of)
+        return array(self.code, [x.id for x in self.tokenize(shown)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.chunks(t) for t in texts]
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p)
-        missing = wanted.difference(self.young)
-        if missing:
-            old = self.old
-            if old:
-                back = missing.intersection(old)
-                self.young.update((k, old[k]) for k in back)
-                missing -= back
-            if missing:
-                self.learn(list(missing))
-        get = self.young.__getitem__
-        out = [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in parts]
-        if len(self.young) > CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
+        get = self.cache.__getitem__
+        out = [np.frombuffer(b"".join(map(get, self.chunks(t))), self.dtype) for t in texts]
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache = ChunkCache(self.merge, dict(self.cache))
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
