@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chatformat, exactdedup, mixing, pii, tokenstore
+from . import ann, bpe, chatformat, exactdedup, mixing, pii, probminhash, suffixdedup, tokenstore
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.digests(table(spark, sf_dir, "conversations"))
 
@@ -40,14 +44,20 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(table(spark, sf_dir, "documents"))
 
 
+def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_prob_minhash": op3_prob_minhash,
     "op4_chat_format": op4_chat_format,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_multi_index": op6_multi_index,
     "op7_token_store": op7_token_store,
     "op8_private_data": op8_private_data,
     "op9_source_mix": op9_source_mix,
+    "op10_sparse_suffix": op10_sparse_suffix,
 }
 
 ORACLE: dict[str, str] = {
