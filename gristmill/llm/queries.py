@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chatformat, exactdedup, mixing, pii, probminhash, suffixdedup, tokenstore
+from . import ann, bpe, chatformat, cotrain, exactdedup, mixing, pii, probminhash, suffixdedup, tokenstore
 from .common import table
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -49,6 +53,7 @@ def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotraining": op1_cotraining,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_prob_minhash": op3_prob_minhash,
     "op4_chat_format": op4_chat_format,
