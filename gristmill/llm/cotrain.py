@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 LABELLED, POOL = 20_000, 20_000
-#: Rounds, pseudo-labels per class, view and round, and the confidence they need.
+#: Rounds, half the pseudo-labels that a view gives in a round, and the confidence they need.
 ROUNDS, GIVEN, SURE = 4, 500, 0.97
 #: Documents whose combined probability of being good is below this are rejected.
 KEEP = 0.5
@@ -123,8 +123,10 @@ def train_view(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> View:
 
 
 def calibrated(view: View, x: np.ndarray, y: np.ndarray) -> View:
-    if len(set(y.tolist())) == 2:
-        w = logistic(view.raw(x)[:, None], y, 1e-3)
+    """Platt scaling on held-out rows, with targets drawn in by one row of either class."""
+    good, bad = float(y.sum()), float((1 - y).sum())
+    if good and bad:
+        w = logistic(view.raw(x)[:, None], np.where(y > 0.5, (good + 1) / (good + 2), 1 / (bad + 2)), 1e-3)
         view.a, view.b = max(0.0, float(w[0])), float(w[1])
     return view
 
@@ -139,19 +141,21 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nda
         x = np.concatenate([views[v][~fold], *(pools[v][at] for at, _ in given[v])])
         return train_view(x, np.concatenate([y[~fold], *(label for _, label in given[v])]))
 
+    rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
     for _ in range(ROUNDS):
         fresh = []
         for v in (0, 1):
             view = calibrated(fit(v), views[v][fold], y[fold])
             p = 1 / (1 + np.exp(-np.clip(view.log_odds(pools[v]), -30, 30)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                at = np.flatnonzero(free & (sure >= SURE))
-                at = at[np.argsort(-sure[at], kind="stable")[:GIVEN]]
-                fresh.append((1 - v, at, np.full(len(at), label)))
+            found = [np.flatnonzero(free & (sure >= SURE)) for sure in (1 - p, p)]
+            share = [1 - rate, rate]  # classes are given in their labelled proportion
+            n = min(2 * GIVEN, *(len(found[c]) / share[c] for c in (0, 1)))
+            for c, sure in ((0, 1 - p), (1, p)):
+                at = found[c][np.argsort(-sure[found[c]], kind="stable")[: round(n * share[c])]]
+                fresh.append((1 - v, at, np.full(len(at), float(c))))
         for to, at, label in fresh:
             given[to].append((at, label))
             free[at] = False
-    rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
     done = [calibrated(fit(v), views[v][fold], y[fold]) for v in (0, 1)]
     return Model(done[0], done[1], float(np.log(rate / (1 - rate))))
 
