@@ -25,7 +25,7 @@ class Broken(ValueError):
 
 
 def parse_store(text: str) -> list[dict]:
-    lines = text.split("\n")
+    lines = text.removesuffix("\n").split("\n")
     if not lines or lines[0] != "NSTORE1":
         raise Broken("magic")
     if len(lines) < 2 or not lines[1].isdigit():
