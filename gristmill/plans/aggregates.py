@@ -61,11 +61,12 @@ def distinct_4gram_by_source(spark, t):
     return per.groupBy("source").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("different")).withColumn("ratio", F.round(F.col("different") / F.col("total"), 6))
 
 
-@book.query("""WITH c AS (SELECT source, regexp_replace(lower(substr(text, 1, 6)), '[0-9]+', '#', 'g') AS phrase, count(*) AS c FROM documents GROUP BY 1, 2)
+@book.query(f"""WITH c AS (SELECT source, regexp_replace(lower(w), '[0-9]+', '#', 'g') AS phrase, count(*) AS c FROM (SELECT source, unnest(regexp_extract_all(text, '{W}')) AS w FROM documents) GROUP BY 1, 2)
   SELECT source, CAST(sum(c) AS BIGINT) AS n, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS entropy FROM c GROUP BY source""")
 def phrase_entropy(spark, t):
-    phrase = F.regexp_replace(F.lower(F.substring("text", 1, 6)), "[0-9]+", "#")
-    return M.entropy(t.documents.select("source", phrase.alias("phrase")), "source", "phrase")
+    """Entropy of the words of each source, numbers masked."""
+    said = t.documents.select("source", F.explode(words(F.col("text"))).alias("w"))
+    return M.entropy(said.select("source", F.regexp_replace(F.lower("w"), "[0-9]+", "#").alias("phrase")), "source", "phrase")
 
 
 @book.query("""SELECT source, count(DISTINCT lang) AS used, (SELECT count(DISTINCT lang) FROM documents) AS declared,
@@ -237,9 +238,9 @@ def dedup_longest(spark, t):
 _NB_TRAIN = f"""tr AS (SELECT quality, word, count(*) AS c FROM (SELECT quality, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM {_LABELLED} WHERE doc_id % 2 = 0) GROUP BY 1, 2)"""
 
 
-@book.query(f"WITH {_NB_TRAIN}, n AS (SELECT quality, sum(c) AS n FROM tr GROUP BY 1), v AS (SELECT count(DISTINCT word) AS v FROM tr) SELECT quality, word, c, round(ln((c + 1) / (n + v)), 6) AS logp FROM tr JOIN n USING (quality), v WHERE c >= 3")
+@book.query(f"WITH {_NB_TRAIN}, n AS (SELECT quality, sum(c) AS n FROM tr GROUP BY 1), v AS (SELECT count(DISTINCT word) AS v FROM tr) SELECT quality, word, c, round(ln((c + 1) / (n + v)), 6) AS logp FROM tr JOIN n USING (quality), v")
 def nb_train(spark, t):
-    return _nb(t).filter("c >= 3").select("quality", "word", "c", F.round("logp", 6).alias("logp"))
+    return _nb(t).select("quality", "word", "c", F.round("logp", 6).alias("logp"))
 
 
 def _counts(t):

@@ -82,10 +82,10 @@ def non_ascii(spark, t):
     return t.documents.filter(C("text").rlike("[^\\x00-\\x7F]")).select("doc_id")
 
 
-@book.query("SELECT doc_id, upper(substr(s, 1, 1)) || substr(s, 2, 30) AS stem FROM (SELECT doc_id, regexp_replace(text, '^\\(?[a-z0-9]{1,2}[.)] *', '') AS s FROM documents)")
+@book.query("SELECT doc_id, md5(upper(substr(s, 1, 1)) || substr(s, 2)) AS stem_md5 FROM (SELECT doc_id, regexp_replace(text, '^\\(?[a-z0-9]{1,2}[.)] *', '') AS s FROM documents)")
 def clean_stem(spark, t):
     s = F.regexp_replace("text", "^\\(?[a-z0-9]{1,2}[.)] *", "")
-    return t.documents.select("doc_id", F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 30)).alias("stem"))
+    return t.documents.select("doc_id", F.md5(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 2**31 - 1))).alias("stem_md5"))
 
 
 @book.query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'authored ' || p_brand ELSE p_name END AS name FROM part WHERE NOT (p_partkey % 10 <> 0 AND p_size > 45)")
@@ -145,7 +145,7 @@ def record_fields(spark, t):
 
 
 #: A generation made of a conversation turn: every third lacks its end, every fifth its call's end.
-_GEN = "'<q>' || substr(text, 1, 20) || '<r>F=m*a' || CASE WHEN turn % 2 = 1 THEN '<tool>eval<arg>' || length(text) || '*2' || CASE WHEN conv_id % 5 = 0 THEN '' ELSE '</tool>' END || CASE WHEN conv_id % 7 = 0 THEN ' then ' ELSE '' END || '<res>' || 2 * length(text) || '</res>' ELSE '' END || '<a>The result is ' || 2 * length(text) || CASE WHEN conv_id % 11 = 0 THEN ' and I cannot say more' ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN '' ELSE '<end>' END"
+_GEN = "'<q>' || text || '<r>F=m*a' || CASE WHEN turn % 2 = 1 THEN '<tool>eval<arg>' || length(text) || '*2' || CASE WHEN conv_id % 5 = 0 THEN '' ELSE '</tool>' END || CASE WHEN conv_id % 7 = 0 THEN ' then ' ELSE '' END || '<res>' || 2 * length(text) || '</res>' ELSE '' END || '<a>The result is ' || 2 * length(text) || CASE WHEN conv_id % 11 = 0 THEN ' and I cannot say more' ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN '' ELSE '<end>' END"
 _GENS = f"(SELECT conv_id, turn, {_GEN} AS gen FROM conversations)"
 _count = lambda tag: f"((length(gen) - length(replace(gen, '{tag}', ''))) // {len(tag)})"
 
@@ -284,9 +284,9 @@ def assign_scan(spark, t):
     return found.select("conv_id", "turn", last("m").alias("m"), last("v").alias("v"), F.size("a").cast("bigint").alias("assignments"))
 
 
-@book.query("SELECT doc_id, regexp_replace(head || ' and with the', '( (and|with|the|for))+$', '') AS stripped FROM (SELECT doc_id, substr(text, 1, 20) AS head FROM documents)")
+@book.query("SELECT doc_id, md5(regexp_replace(text || ' and with the', '( (and|with|the|for))+$', '')) AS stripped_md5 FROM documents")
 def strip_filler(spark, t):
-    return t.documents.select("doc_id", F.regexp_replace(F.concat(F.substring("text", 1, 20), F.lit(" and with the")), "( (and|with|the|for))+\\z", "").alias("stripped"))
+    return t.documents.select("doc_id", F.md5(F.regexp_replace(F.concat("text", F.lit(" and with the")), "( (and|with|the|for))+\\z", "")).alias("stripped_md5"))
 
 
 @book.query("SELECT doc_id, len(w)::BIGINT AS n, len(list_distinct(w))::BIGINT AS different FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with')) AS w FROM documents)")
@@ -353,18 +353,26 @@ def json_props(spark, t):
 
 
 @book.query(f"""SELECT key, arg_min(meaning, doc_id) AS meaning, 'k' || substr(sha256('ktext/v1:' || key), 1, 7) AS rid FROM
-  (SELECT doc_id, lower(trim(regexp_extract(text, '{W_}'))) AS key, substr(text, 1, 40) AS meaning FROM documents) WHERE key <> '' GROUP BY key""")
+  (SELECT doc_id, lower(trim(regexp_extract(text, '{W_}'))) AS key, md5(text) AS meaning FROM documents) WHERE key <> '' GROUP BY key""")
 def pack_terms(spark, t):
     """Terms trimmed, empty ones dropped, the first meaning per lower-cased term kept."""
-    rows = t.documents.select("doc_id", F.lower(F.trim(F.regexp_extract("text", W_, 0))).alias("key"), F.substring("text", 1, 40).alias("meaning")).filter("key <> ''")
+    rows = t.documents.select("doc_id", F.lower(F.trim(F.regexp_extract("text", W_, 0))).alias("key"), F.md5("text").alias("meaning")).filter("key <> ''")
     return rows.groupBy("key").agg(F.min_by("meaning", "doc_id").alias("meaning")).withColumn("rid", F.concat(F.lit("k"), F.substring(F.sha2(F.concat(F.lit("ktext/v1:"), "key"), 256), 1, 7)))
 
 
-@book.query("SELECT substr(sha256(string_agg(md5(text), ',' ORDER BY doc_id)), 1, 16) AS stamp, count(*) AS inputs FROM documents WHERE doc_id % 100 = 0")
+@book.query("""WITH a AS (SELECT doc_id // 1000 AS b, sha256(string_agg(md5(text), ',' ORDER BY doc_id)) AS h, count(*) AS n FROM documents GROUP BY 1),
+  m AS (SELECT b // 1000 AS b, sha256(string_agg(h, ',' ORDER BY b)) AS h, sum(n) AS n FROM a GROUP BY b // 1000)
+  SELECT substr(sha256(string_agg(h, ',' ORDER BY b)), 1, 16) AS stamp, sum(n)::BIGINT AS inputs FROM m""")
 def corpus_stamp(spark, t):
-    """One digest of the manifest: every hundredth document's digest, in id order."""
-    few = t.documents.filter("doc_id % 100 = 0").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.md5("text").alias("h")))).alias("m"))
-    return few.select(F.substring(F.sha2(F.array_join("m.h", ","), 256), 1, 16).alias("stamp"), F.size("m").cast("bigint").alias("inputs"))
+    """One digest of all documents in id order: digests of blocks of 1000, of 1000 blocks, of all.
+
+    No list holds more than a thousand digests until the last, which has one per million.
+    """
+    level = t.documents.select(C("doc_id").alias("k"), F.md5("text").alias("h"), F.lit(1).cast("bigint").alias("n"))
+    for _ in range(2):
+        level = level.groupBy(F.expr("k div 1000").alias("b")).agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("m"), F.sum("n").alias("n")).select(C("b").alias("k"), F.sha2(F.array_join("m.h", ","), 256).alias("h"), "n")
+    last = level.agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("m"), F.sum("n").alias("inputs"))
+    return last.select(F.substring(F.sha2(F.array_join("m.h", ","), 256), 1, 16).alias("stamp"), "inputs")
 
 
 @book.query("""SELECT source, count(*) AS docs, sum(CASE WHEN r < 1 THEN 0 ELSE 1 END)::BIGINT AS repeating FROM (SELECT source, len(list_distinct(string_split(text, chr(10)))) / len(string_split(text, chr(10))) AS q, CASE WHEN len(list_distinct(string_split(text, chr(10)))) < len(string_split(text, chr(10))) THEN 1 ELSE 0 END AS r FROM documents) GROUP BY 1""")

@@ -76,7 +76,7 @@ def spans(spark, t):
     return spark.sql("SELECT conv_id, turn, tag, cast(if(tag = '<q>', size, 0) AS bigint) AS n FROM gristmill_gens, LATERAL gristmill_spans(gen)")
 
 
-@book.query("SELECT o_orderkey, o_custkey % 3 = 0 AS matches FROM orders WHERE o_orderkey % 10 = 0")
+@book.query("SELECT o_orderkey, o_custkey % 3 = 0 AS matches FROM orders")
 def shape_check(spark, t):
     """A call against its relation: the call's canonical form equals the relation's."""
     from ..functions import expr
@@ -87,7 +87,7 @@ def shape_check(spark, t):
 
     k = C("o_custkey") % 3
     call = F.when(k == 0, "v*m").when(k == 1, "m/v").otherwise("m*v*v")
-    return t.orders.filter("o_orderkey % 10 = 0").select("o_orderkey", same(call, F.lit("m*v")).alias("matches"))
+    return t.orders.select("o_orderkey", same(call, F.lit("m*v")).alias("matches"))
 
 
 @book.query(f"SELECT ord, len(list_distinct(regexp_extract_all(formula, '[A-Za-z][A-Za-z0-9_]*')))::BIGINT AS vars, formula FROM {R.store_sql()}")
