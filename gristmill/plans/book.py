@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 
 class Tables:
     """Tables of one scale factor, read on demand."""
@@ -29,7 +31,12 @@ class Book:
     def query(self, sql: str | None = None):
         def register(f: Callable[[SparkSession, Tables], DataFrame]):
             name = f.__name__
-            self.queries[name] = lambda spark, sf_dir: f(spark, Tables(spark, sf_dir))
+
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return f(spark, Tables(spark, sf_dir))
+
+            self.queries[name] = run
             if sql is not None:
                 self.oracle[name] = sql
             return f
