@@ -6,7 +6,6 @@ import re
 
 import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 
 from . import expr
@@ -21,16 +20,26 @@ def _tool(name: str):
 
 def _typed(name: str, n: int):
     run = _tool(name)
-    if n == 1:
-        return pandas_udf(lambda a: run(a), "string", F.PandasUDFType.SCALAR)
-    if n == 2:
-        return pandas_udf(lambda a, b: run(a, b), "string", F.PandasUDFType.SCALAR)
-    return pandas_udf(lambda a, b, c: run(a, b, c), "string", F.PandasUDFType.SCALAR)
+
+    def one(a: pd.Series) -> pd.Series:
+        return run(a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return run(a, b, c)
+
+    return pandas_udf({1: one, 2: two, 3: three}[n], "string")
 
 
 eval_expr, conv_expr, solve_expr, diff_expr, integ_expr = _typed("eval", 1), _typed("conv", 2), _typed("solve", 2), _typed("diff", 2), _typed("integ", 2)
 evalat_expr = _typed("evalat", 3)
-tool_call = pandas_udf(lambda s: s.map(expr.call), "string", F.PandasUDFType.SCALAR)
+
+
+@pandas_udf("string")
+def tool_call(s: pd.Series) -> pd.Series:
+    return s.map(expr.call)
 
 
 @pandas_udf("string")
