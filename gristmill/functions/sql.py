@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from . import expr
@@ -30,19 +31,19 @@ def _typed(name: str, n: int):
     def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return run(a, b, c)
 
-    return pandas_udf({1: one, 2: two, 3: three}[n], "string")
+    return pandas_udf({1: one, 2: two, 3: three}[n], T.StringType())
 
 
 eval_expr, conv_expr, solve_expr, diff_expr, integ_expr = _typed("eval", 1), _typed("conv", 2), _typed("solve", 2), _typed("diff", 2), _typed("integ", 2)
 evalat_expr = _typed("evalat", 3)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def tool_call(s: pd.Series) -> pd.Series:
     return s.map(expr.call)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def fmt_num(v: pd.Series) -> pd.Series:
     def one(x: float) -> str:
         try:
@@ -53,14 +54,14 @@ def fmt_num(v: pd.Series) -> pd.Series:
     return v.astype(float).map(one)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def sem2(v: pd.Series) -> float:
     """Twice the standard error of the mean; NaN below two values."""
     v = v.dropna()
     return float(2 * v.std(ddof=1) / len(v) ** 0.5) if len(v) > 1 else float("nan")
 
 
-@udtf(returnType="tag string, body string, pos int")
+@udtf(returnType=T.StructType([T.StructField("tag", T.StringType()), T.StructField("body", T.StringType()), T.StructField("pos", T.IntegerType())]))
 class Spans:
     """Tagged spans of a document: tag, body up to the next tag, position."""
 

@@ -13,7 +13,6 @@ from .book import Book
 
 book = Book()
 QUERIES, ORACLE = book.queries, book.oracle
-ONE = F.lit(1)
 C = F.col
 STORE = R.store_sql()
 W_ = r"[^ \t\n\r]+"
@@ -72,7 +71,7 @@ def snippet(spark, t):
 def family_counts(spark, t):
     n = C("name")
     family = F.when(n.contains("energy"), "energy").when(n.contains("power"), "power").when(n.contains("force") | n.contains("speed"), "motion").otherwise("other")
-    return R.store(spark).groupBy(family.alias("family")).agg(F.count(ONE).alias("n"))
+    return R.store(spark).groupBy(family.alias("family")).agg(F.count("*").alias("n"))
 
 
 # ---- conversation and prompt
@@ -116,13 +115,13 @@ def result_inject(spark, t):
 @book.query("""SELECT count(*) AS calls, count(*) FILTER (orphan) AS orphans, CASE WHEN count(*) = 0 THEN 'cannot_check' WHEN count(*) FILTER (orphan) <= 0.005 * count(*) THEN 'ok' ELSE 'fail' END AS status
   FROM (SELECT l_quantity, l_quantity <> floor(l_quantity) OR l_linenumber > 6 AS orphan FROM lineitem)""")
 def gate_orphans(spark, t):
-    o = t.lineitem.select(((C("l_quantity") != F.floor("l_quantity")) | (C("l_linenumber") > 6)).alias("orphan")).agg(F.count(ONE).alias("calls"), F.count_if("orphan").alias("orphans"))
+    o = t.lineitem.select(((C("l_quantity") != F.floor("l_quantity")) | (C("l_linenumber") > 6)).alias("orphan")).agg(F.count("*").alias("calls"), F.count_if("orphan").alias("orphans"))
     return o.withColumn("status", F.when(C("calls") == 0, "cannot_check").when(C("orphans") <= 0.005 * C("calls"), "ok").otherwise("fail"))
 
 
 @book.query("""SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_totalprice NOT BETWEEN 1000 AND 400000) AS outside, CASE WHEN count(*) FILTER (o_totalprice NOT BETWEEN 1000 AND 400000) <= 0.002 * count(*) THEN 'ok' ELSE 'fail' END AS status FROM orders GROUP BY 1""")
 def gate_range(spark, t):
-    o = t.orders.groupBy("o_orderpriority").agg(F.count(ONE).alias("n"), F.count_if(~C("o_totalprice").between(1000, 400000)).alias("outside"))
+    o = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(~C("o_totalprice").between(1000, 400000)).alias("outside"))
     return o.withColumn("status", F.when(C("outside") <= 0.002 * C("n"), "ok").otherwise("fail"))
 
 
@@ -135,7 +134,7 @@ def gate_plausible(spark, t):
 @book.query("SELECT CASE WHEN text IS NULL THEN 'null' WHEN text = '' THEN 'empty' WHEN n_chars <> length(text) THEN 'length' ELSE 'ok' END AS reason, count(*) AS n FROM documents GROUP BY 1")
 def quarantine_counts(spark, t):
     reason = F.when(C("text").isNull(), "null").when(C("text") == "", "empty").when(C("n_chars") != F.length("text"), "length").otherwise("ok")
-    return t.documents.groupBy(reason.alias("reason")).agg(F.count(ONE).alias("n"))
+    return t.documents.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 _NUM = "[0-9]+(\\.[0-9]+)?"
@@ -169,7 +168,7 @@ def pretokenise(spark, t):
 @book.query(f"""SELECT pair, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, length(w) - 1), lambda i: substr(w, i, 2))) AS pair FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) > 1) GROUP BY 1""")
 def bpe_pairs(spark, t):
     """One round of pair counting: words are counted first, pairs once per distinct word."""
-    w = t.documents.select(F.explode(letters(C("text"), 1)).alias("w")).groupBy("w").agg(F.count(ONE).alias("c")).filter(F.length("w") > 1)
+    w = t.documents.select(F.explode(letters(C("text"), 1)).alias("w")).groupBy("w").agg(F.count("*").alias("c")).filter(F.length("w") > 1)
     pairs = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substr("w", i, F.lit(2)))
     return w.select("c", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("c").alias("n"))
 
@@ -209,7 +208,7 @@ def loss_mask(spark, t):
 
 @book.query("SELECT role, count(*) AS n, round(avg((length(text) > 300)::INT), 6) AS leak_rate FROM conversations GROUP BY 1")
 def leak_rate(spark, t):
-    return t.conversations.groupBy("role").agg(F.count(ONE).alias("n"), F.round(F.avg((F.length("text") > 300).cast("int")), 6).alias("leak_rate"))
+    return t.conversations.groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg((F.length("text") > 300).cast("int")), 6).alias("leak_rate"))
 
 
 _V = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -278,7 +277,7 @@ def lr_schedule(spark, t):
 
 @book.query(f"SELECT count(*) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem")
 def stat_array(spark, t):
-    return t.lineitem.agg(F.count(ONE).alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    return t.lineitem.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 
 
 @book.query("""WITH c AS (SELECT p_partkey, 1 + p_partkey % 3 AS a, p_size - 25 AS b, 5 - p_size % 11 AS c FROM part), d AS (SELECT *, b * b - 4 * a * c AS d FROM c)
@@ -300,7 +299,7 @@ def simpson_composite(spark, t):
 @book.query("""WITH s AS (SELECT vec_id, label, embedding[1:8] AS k FROM embeddings) SELECT label, count(*) AS n, round(avg(k[1]::DOUBLE), 6) AS m1, round(avg(k[8]::DOUBLE), 6) AS m8 FROM s GROUP BY 1""")
 def attention_mix(spark, t):
     """Mean of value vectors under uniform attention within a label."""
-    return t.embeddings.groupBy("label").agg(F.count(ONE).alias("n"), F.round(F.avg(C("embedding")[0].cast("double")), 6).alias("m1"), F.round(F.avg(C("embedding")[7].cast("double")), 6).alias("m8"))
+    return t.embeddings.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(C("embedding")[0].cast("double")), 6).alias("m1"), F.round(F.avg(C("embedding")[7].cast("double")), 6).alias("m8"))
 
 
 @book.query("""SELECT p_partkey, CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.4f', v), '0+$', '') END AS shown FROM (SELECT p_partkey, p_size / 8.0 AS v FROM part)""")
@@ -319,7 +318,7 @@ _ROLL = "((doc_id * 1103515245 + 12345) % 32768 / 32768.0)"
 def roll_class(spark, t):
     u = F.pmod(C("doc_id") * 1103515245 + 12345, F.lit(32768)) / 32768.0
     kind = F.when(u < 0.10, "D1").when(u < 0.15, "D2").when(u < 0.18, "D3").when(u < 0.22, "EXPLAIN").otherwise("ANSWER")
-    return t.documents.groupBy(kind.alias("kind")).agg(F.count(ONE).alias("n"))
+    return t.documents.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 @book.query(f"""SELECT p_partkey, ord, 'Find p for m = ' || (p_size + 1) || ' and v = ' || (p_partkey % 9 + 1) || '.' AS question, (p_size + 1) * (p_partkey % 9 + 1) AS answer FROM part JOIN {STORE} ON ord = 0""")

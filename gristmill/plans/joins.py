@@ -12,7 +12,6 @@ from .book import Book
 
 book = Book()
 QUERIES, ORACLE = book.queries, book.oracle
-ONE = F.lit(1)
 STORE = R.store_sql()
 W_ = r"[^ \t\n\r]+"
 
@@ -20,7 +19,7 @@ W_ = r"[^ \t\n\r]+"
 @book.query("SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def join_inner(spark, t):
     # orders are summed per customer before the join, so one row a customer meets the dimensions
-    per = t.orders.groupBy("o_custkey").agg(F.count(ONE).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("s"))
+    per = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("s"))
     joined = per.join(t.customer, per.o_custkey == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.sum("n").alias("n"), F.sum("s").cast("double").alias("total"))
 
@@ -37,7 +36,7 @@ def join_left_coalesce(spark, t):
 def join_composite(spark, t):
     keys = ["l_returnflag", "l_linestatus"]
     window = t.lineitem.filter("l_linenumber = 1").groupBy(*keys).agg(F.min("l_quantity").alias("lo"), (F.max("l_quantity") - 5).alias("hi"))
-    counted = t.lineitem.groupBy(*keys, "l_quantity").agg(F.count(ONE).alias("c")).join(window, keys, "left")
+    counted = t.lineitem.groupBy(*keys, "l_quantity").agg(F.count("*").alias("c")).join(window, keys, "left")
     return counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("l_quantity").between(F.col("lo"), F.col("hi")), F.col("c"))), F.lit(0)).alias("inside"))
 
 
@@ -56,14 +55,14 @@ def join_anti(spark, t):
 @book.query("""SELECT o_orderstatus, l_returnflag, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY GROUP BY 1, 2""")
 def join_range(spark, t):
     late = F.col("l_shipdate").between(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS"))
-    return t.orders.join(t.lineitem, (F.col("l_orderkey") == F.col("o_orderkey")) & late).groupBy("o_orderstatus", "l_returnflag").agg(F.count(ONE).alias("n"))
+    return t.orders.join(t.lineitem, (F.col("l_orderkey") == F.col("o_orderkey")) & late).groupBy("o_orderstatus", "l_returnflag").agg(F.count("*").alias("n"))
 
 
 @book.query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1)
   SELECT coalesce(a.k, b.k) AS k, a.n AS n_a, b.n AS n_b, CASE WHEN a.k IS NULL THEN 'only_b' WHEN b.k IS NULL THEN 'only_a' WHEN a.n = b.n THEN 'same' ELSE 'differs' END AS status FROM a FULL JOIN b ON a.k = b.k""")
 def parity_diff(spark, t):
-    a = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count(ONE).alias("n_a"))
-    b = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count(ONE).alias("n_b"))
+    a = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_a"))
+    b = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_b"))
     status = F.when(F.col("n_a").isNull(), "only_b").when(F.col("n_b").isNull(), "only_a").when(F.col("n_a") == F.col("n_b"), "same").otherwise("differs")
     return a.join(b, "k", "full_outer").withColumn("status", status)
 
@@ -111,7 +110,7 @@ def paired_outcomes(spark, t):
 @book.query("""SELECT c_custkey, (c_custkey * 1103515245 + 12345) % (SELECT count(*) FROM supplier) + 1 AS partner, s_nationkey FROM customer JOIN supplier ON s_suppkey = (c_custkey * 1103515245 + 12345) % (SELECT count(*) FROM supplier) + 1""")
 def partner_join(spark, t):
     """Each row meets a pseudo-random partner: an equi-join on a hashed index."""
-    n = F.broadcast(t.supplier.agg(F.count(ONE).alias("n")))  # one row
+    n = F.broadcast(t.supplier.agg(F.count("*").alias("n")))  # one row
     a = t.customer.select("c_custkey").crossJoin(n).select("c_custkey", F.expr("(c_custkey * 1103515245 + 12345) % n + 1").alias("partner"))
     return a.join(t.supplier, a.partner == F.col("s_suppkey")).select("c_custkey", "partner", "s_nationkey")
 
@@ -123,7 +122,7 @@ def givens_bind(spark, t):
     rel = R.store(spark).select("ord", R.variables(F.col("formula")).alias("v"))
     asked = spark.createDataFrame([(0, ["m", "v"]), (1, ["F", "t"]), (2, ["I", "R", "q"])], "qid int, given array<string>")
     hit = asked.select("qid", F.size("given").alias("k"), F.explode("given").alias("x")).join(rel.select("ord", F.size("v").alias("n"), F.explode("v").alias("x")), "x")
-    return hit.groupBy("qid", "ord", "k", "n").agg(F.count(ONE).alias("c")).filter("c = k and n - k = 1").select("qid", "ord")
+    return hit.groupBy("qid", "ord", "k", "n").agg(F.count("*").alias("c")).filter("c = k and n - k = 1").select("qid", "ord")
 
 
 _Q = "(SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS word FROM benchmark)"
@@ -135,9 +134,9 @@ _D = "(SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z
 def retrieval_cross(spark, t):
     """Every question against every document, through the words they share."""
     docs = t.documents.select("doc_id", F.explode(F.array_distinct(letters(F.col("text")))).alias("word"))
-    rare = docs.groupBy("word").agg(F.count(ONE).alias("n"))
+    rare = docs.groupBy("word").agg(F.count("*").alias("n"))
     asked = t.benchmark.select("item_id", F.explode(F.array_distinct(letters(F.col("text")))).alias("word"))
-    hits = asked.join(rare, "word").join(docs, "word").groupBy("item_id", "doc_id").agg(F.count(ONE).alias("hits"))
+    hits = asked.join(rare, "word").join(docs, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))
     return hits.withColumn("rank", rank).filter("rank <= 3").select("item_id", "doc_id", "hits", "rank")
 
@@ -161,7 +160,7 @@ def argmax_first(spark, t):
 @book.query("""SELECT user_id, top, second, CASE WHEN top >= 3 AND top > coalesce(second, 0) THEN 'high' ELSE 'low' END AS band FROM
   (SELECT user_id, max(n) FILTER (r = 1) AS top, max(n) FILTER (r = 2) AS second FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) GROUP BY 1)""")
 def margin_band(spark, t):
-    n = t.events.groupBy("user_id", "event_type").agg(F.count(ONE).alias("n"))
+    n = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     w = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")
     top = n.select("user_id", F.col("n").alias("top"), F.lead("n").over(w).alias("second"), F.row_number().over(w).alias("r")).filter("r = 1")
     return top.select("user_id", "top", "second", F.when((F.col("top") >= 3) & (F.col("top") > F.coalesce("second", F.lit(0))), "high").otherwise("low").alias("band"))
@@ -175,7 +174,7 @@ def window_mean_pos(spark, t):
 
 @book.query("SELECT event_type, event_id // 500 AS step, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def window_500(spark, t):
-    return t.events.groupBy("event_type", F.expr("event_id div 500").alias("step")).agg(F.count(ONE).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return t.events.groupBy("event_type", F.expr("event_id div 500").alias("step")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @book.query("""WITH d AS (SELECT o_orderpriority AS p, o_orderdate AS day, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), m AS (SELECT p, day, v, avg(v) OVER (PARTITION BY p ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mv FROM d)
@@ -249,7 +248,7 @@ def win_lag(spark, t):
 @book.query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM events")
 def win_frame(spark, t):
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return t.events.select("event_id", F.count(ONE).over(w.rowsBetween(-2, 2)).alias("near"), F.max("value").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("ahead"))
+    return t.events.select("event_id", F.count("*").over(w.rowsBetween(-2, 2)).alias("near"), F.max("value").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("ahead"))
 
 
 # ---- ordering and sampling
@@ -285,14 +284,14 @@ def weighted_draw(spark, t):
     """Weights .16 .27 .30 .27 against a hashed uniform number."""
     u = M.lcg(F.col("c_custkey")) / 32768.0
     pick = F.when(u < 0.16, 2).when(u < 0.43, 3).when(u < 0.73, 4).otherwise(5)
-    return t.customer.groupBy(pick.alias("pick")).agg(F.count(ONE).alias("n"))
+    return t.customer.groupBy(pick.alias("pick")).agg(F.count("*").alias("n"))
 
 
 @book.query("""WITH s AS (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS size, count(*) OVER () AS total, row_number() OVER (PARTITION BY c_mktsegment ORDER BY (c_custkey * 1103515245 + 12345) % 32768, c_custkey) AS r FROM customer)
   SELECT c_mktsegment, c_custkey FROM s WHERE r <= greatest(1, floor(25 * size / total + 0.5))""")
 def stratified_draw(spark, t):
     """Proportional strata of about 25 rows in all, at least one each."""
-    sizes = t.customer.groupBy("c_mktsegment").agg(F.count(ONE).alias("size"))
+    sizes = t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("size"))
     quota = sizes.withColumn("quota", F.greatest(F.lit(1), F.floor(25 * F.col("size") / F.sum("size").over(Window.partitionBy()) + 0.5)))
     r = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(M.lcg(F.col("c_custkey")), "c_custkey"))
     ranked = t.customer.select("c_mktsegment", "c_custkey", r.alias("r"))
@@ -339,7 +338,7 @@ def union_tiers(spark, t):
 @book.query("SELECT count(*) AS shared, CASE WHEN count(*) = 0 THEN 'ok' ELSE 'fail' END AS status FROM (SELECT text FROM documents INTERSECT SELECT text FROM benchmark)")
 def splits_disjoint(spark, t):
     shared = t.documents.select("text").intersect(t.benchmark.select("text"))
-    return shared.agg(F.count(ONE).alias("shared")).withColumn("status", F.when(F.col("shared") == 0, "ok").otherwise("fail"))
+    return shared.agg(F.count("*").alias("shared")).withColumn("status", F.when(F.col("shared") == 0, "ok").otherwise("fail"))
 
 
 @book.query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
@@ -350,7 +349,7 @@ def set_except(spark, t):
 @book.query("SELECT count(*) AS missing, CASE WHEN count(*) = 0 THEN 'ok' ELSE 'fail' END AS status FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer)")
 def coverage_gate(spark, t):
     missing = t.supplier.join(t.customer, F.col("s_nationkey") == F.col("c_nationkey"), "left_anti")
-    return missing.agg(F.count(ONE).alias("missing")).withColumn("status", F.when(F.col("missing") == 0, "ok").otherwise("fail"))
+    return missing.agg(F.count("*").alias("missing")).withColumn("status", F.when(F.col("missing") == 0, "ok").otherwise("fail"))
 
 
 @book.query("SELECT DISTINCT md5(text) AS text_md5 FROM documents")
@@ -367,7 +366,7 @@ def dedup_first(spark, t):
 @book.query("SELECT md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS key, count(*) AS n, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def dedup_normalised(spark, t):
     key = F.md5(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", ""))
-    return t.documents.groupBy(key.alias("key")).agg(F.count(ONE).alias("n"), F.min("doc_id").alias("doc_id"))
+    return t.documents.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
 
 
 @book.query(f"SELECT a.ord AS a, b.ord AS b FROM {STORE.replace('store(', 'a(')} JOIN {STORE.replace('store(', 'b(')} ON a.ord < b.ord AND list_sort(regexp_extract_all(a.formula, '[A-Za-z]+')) = list_sort(regexp_extract_all(b.formula, '[A-Za-z]+'))")

@@ -11,7 +11,6 @@ from .book import Book
 
 book = Book()
 QUERIES, ORACLE = book.queries, book.oracle
-ONE = F.lit(1)
 STORE = R.store_sql()
 C = F.col
 W_ = r"[^ \t\n\r]+"
@@ -121,7 +120,7 @@ def lint_leibniz(spark, t):
   SELECT w.word AS fused, s.word AS stopword, k.word AS rest FROM w JOIN stop s ON starts_with(w.word, s.word) AND length(w.word) > length(s.word) JOIN known k ON k.word = substr(w.word, length(s.word) + 1) WHERE w.n = 1""")
 def lint_fused(spark, t):
     """Rare words that are a stopword and a known word without the blank between them."""
-    w = t.documents.filter("lang = 'en'").select(F.explode(letters(C("text"))).alias("word")).groupBy("word").agg(F.count(ONE).alias("n"))
+    w = t.documents.filter("lang = 'en'").select(F.explode(letters(C("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     stop = w.orderBy(F.desc("n"), "word").limit(10).select(C("word").alias("stopword"))  # ten rows
     cut = w.filter("n = 1").join(F.broadcast(stop), F.expr("startswith(word, stopword) and length(word) > length(stopword)"))
     cut = cut.select(C("word").alias("fused"), "stopword", F.expr("substr(word, length(stopword) + 1)").alias("rest"))
@@ -187,7 +186,7 @@ def call_parse(spark, t):
 @book.query("SELECT count(*) AS n FROM documents a JOIN benchmark b ON md5(regexp_replace(a.text, '[ \t\n\r]+', '', 'g')) = md5(regexp_replace(b.text, '[ \t\n\r]+', '', 'g'))")
 def squash_eq(spark, t):
     a, b = t.documents.select(F.md5(X.squash(C("text"))).alias("k")), t.benchmark.select(F.md5(X.squash(C("text"))).alias("k"))
-    return a.join(b, "k").agg(F.count(ONE).alias("n"))
+    return a.join(b, "k").agg(F.count("*").alias("n"))
 
 
 @book.query(f"SELECT ord, contains(translate('The relation is (' || formula || ') as stated', ' ()' || chr(9), ''), translate(formula, ' ()' || chr(9), '')) AS stated FROM {STORE}")
@@ -317,7 +316,7 @@ def ci_contains(spark, t):
 def ci_unique(spark, t):
     """Variables whose case difference is unambiguous within their relation."""
     v = R.store(spark).select("ord", F.explode(F.array_distinct(F.regexp_extract_all("formula", F.lit("[A-Za-z]+"), F.lit(0)))).alias("x"))
-    return v.groupBy("ord", F.lower("x").alias("x")).agg(F.count(ONE).alias("spellings")).filter("spellings = 1")
+    return v.groupBy("ord", F.lower("x").alias("x")).agg(F.count("*").alias("spellings")).filter("spellings = 1")
 
 
 @book.query(f"SELECT ord, len(list_distinct(regexp_extract_all(formula, '[A-Za-z][A-Za-z0-9_]*')))::BIGINT AS n, array_to_string(list_sort(list_distinct(regexp_extract_all(formula, '[A-Za-z][A-Za-z0-9_]*'))), ' ') AS vars FROM {STORE}")
@@ -378,7 +377,7 @@ def corpus_stamp(spark, t):
 @book.query("""SELECT source, count(*) AS docs, sum(CASE WHEN r < 1 THEN 0 ELSE 1 END)::BIGINT AS repeating FROM (SELECT source, len(list_distinct(string_split(text, chr(10)))) / len(string_split(text, chr(10))) AS q, CASE WHEN len(list_distinct(string_split(text, chr(10)))) < len(string_split(text, chr(10))) THEN 1 ELSE 0 END AS r FROM documents) GROUP BY 1""")
 def dup_line_ratio(spark, t):
     lines = t.documents.select("source", F.split("text", "\n").alias("l"))
-    return lines.groupBy("source").agg(F.count(ONE).alias("docs"), F.count_if(F.size(F.array_distinct("l")) < F.size("l")).alias("repeating"))
+    return lines.groupBy("source").agg(F.count("*").alias("docs"), F.count_if(F.size(F.array_distinct("l")) < F.size("l")).alias("repeating"))
 
 
 @book.query("""SELECT conv_id, count(*) AS turns, count(*) FILTER (role = before) AS repeats FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY 1""")
@@ -386,4 +385,4 @@ def turn_alternation(spark, t):
     from pyspark.sql import Window
 
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.withColumn("before", before).groupBy("conv_id").agg(F.count(ONE).alias("turns"), F.count_if(C("role") == C("before")).alias("repeats"))
+    return t.conversations.withColumn("before", before).groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(C("role") == C("before")).alias("repeats"))

@@ -16,7 +16,6 @@ from .book import Book
 
 book = Book()
 QUERIES, ORACLE = book.queries, book.oracle
-ONE = F.lit(1)
 C = F.col
 
 
@@ -122,7 +121,7 @@ def src_tok_roundtrip(spark, t):
 def sink_atomic(spark, t):
     """A table published whole and read back."""
     at = scratch(spark, "atomic")
-    files.publish(t.documents.groupBy("source").agg(F.count(ONE).alias("n")), at)
+    files.publish(t.documents.groupBy("source").agg(F.count("*").alias("n")), at)
     return spark.read.parquet(at)
 
 
@@ -183,7 +182,7 @@ def stream_dedup_watermark(spark, t):
     at = scratch(spark, "dedup")
     _lay(spark, t, at)
     kept = E.stream(spark, f"{at}/in", "3650 days").dropDuplicates(["event_type", "user_id"]).select("event_type", "user_id")
-    return E.drain(kept, at).groupBy("event_type").agg(F.count(ONE).alias("users"))
+    return E.drain(kept, at).groupBy("event_type").agg(F.count("*").alias("users"))
 
 
 @book.query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
