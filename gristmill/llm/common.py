@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import sys
+import contextlib
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.session import ship  # noqa: F401  operators take it from here
+
 #: Groups holding at least 1/HOT_SHARE of all rows are "hot"; there are at most
 #: HOT_SHARE of them, which is the proven bound of every broadcast of hot groups.
 HOT_SHARE = 512
@@ -46,22 +46,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't share the driver's path."""
-    root = Path(__file__).resolve().parents[2]
-    if not root.is_dir() or str(root) in os.environ.get("PYTHONPATH", "").split(":"):
-        return
-    sc = spark.sparkContext
-    if getattr(sc, "_gristmill_shipped", False):
-        return
-    at = Path(tempfile.mkdtemp(prefix="gristmill-ship-")) / "gristmill_pkg.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted((root / "gristmill").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    keep = list(sys.path)
-    sc.addPyFile(str(at))
-    sys.path[:] = keep
-    sc._gristmill_shipped = True
+def tidy(run: Callable) -> Callable:
+    """A Python task that hands freed memory back when it ends; workers outlive tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def null_low(col: Column) -> Column:
@@ -82,3 +80,43 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     by_hot = rows.join(F.broadcast(hot), key, "inner")
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return by_hot.unionByName(rest)
+
+
+#: Cells of a Bloom table: at most MAX_CELLS, so its bitmaps are at most 16 MB.
+MAX_CELLS = 1 << 27
+#: Cells of one bitmap row, fixed by Spark's bitmap functions.
+BITMAP = 32768
+
+
+def cells_for(rows: int) -> int:
+    """About 16 cells a row, a power of two, up to MAX_CELLS."""
+    cells = 1 << 16
+    while cells < min(16 * rows, MAX_CELLS):
+        cells *= 2
+    return cells
+
+
+def bitmaps(cells: DataFrame, *by: str) -> DataFrame:
+    """Bitmap rows (`by`, bucket, bits) of a column `cell`."""
+    place = cells.select(*by, F.expr(f"cast(cell as bigint) div {BITMAP}").alias("bucket"), (F.col("cell") % BITMAP).alias("bit"))
+    return place.groupBy(*by, "bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+
+
+def hit(df: DataFrame, cell: Column, bits: DataFrame, name: str) -> DataFrame:
+    """`df` with boolean `name`: whether the bit of `cell` is set in the broadcast bitmaps."""
+    own = F.broadcast(bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")))
+    out = df.withColumn("__cell", cell).withColumn("__bucket", F.expr(f"__cell div {BITMAP}")).join(own, "__bucket", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast((__cell % {BITMAP}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    out = out.withColumn("__byte", byte).withColumn(name, F.coalesce(F.expr("shiftright(__byte, cast(__cell % 8 as int))").bitwiseAND(1) == 1, F.lit(False)))
+    return out.drop("__byte", "__cell", "__bucket", "__bits")
+
+
+def likely(df: DataFrame, key: Column, wanted: DataFrame, rows: int) -> DataFrame:
+    """Rows of `df` whose `key` may be among the one column of `wanted` (a Bloom table).
+
+    None that is wanted is lost; others mostly go before the shuffle that joins them.
+    """
+    cells = cells_for(rows)
+    cell = lambda c: F.xxhash64(c).bitwiseAND(cells - 1)
+    bits = stored(bitmaps(wanted.select(cell(F.col(wanted.columns[0])).alias("cell"))), "bloom")
+    return hit(df, cell(key), bits, "__likely").filter("__likely").drop("__likely")

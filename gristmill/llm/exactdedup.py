@@ -22,11 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, null_low, stored
+from .common import HOT_SHARE, bitmaps, cells_for, hit, null_low, stored
 
-MAX_CELLS = 1 << 27
-#: Cells of one bitmap row, fixed by Spark's bitmap functions.
-BITMAP = 32768
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -44,28 +41,17 @@ def repeated_cells(df: DataFrame, text: str, cells: int) -> DataFrame:
     at = df.select(F.xxhash64(_text(text)).alias("h")).select(F.explode(F.array(a, b + F.lit(cells))).alias("cell"))
     twice = at.groupBy("cell").count().filter("count > 1")
     which = (F.col("cell") >= cells).cast("int")
-    place = F.col("cell").bitwiseAND(cells - 1)
-    return (
-        twice.select(which.alias("which"), F.expr(f"cast(cell & {cells - 1} as bigint) div {BITMAP}").alias("bucket"), (place % BITMAP).alias("bit"))
-        .groupBy("which", "bucket")
-        .agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
-    )
+    return bitmaps(twice.select(which.alias("which"), F.col("cell").bitwiseAND(cells - 1).alias("cell")), "which")
 
 
 def flagged(df: DataFrame, text: str = "text", rows: int | None = None) -> DataFrame:
     """`df` with `__maybe`: false where no other row can have the same text."""
     rows = df.count() if rows is None else rows
-    cells = 1 << 16
-    while cells < min(16 * rows, MAX_CELLS):
-        cells *= 2
+    cells = cells_for(rows)
     bits = stored(repeated_cells(df, text, cells), "repeated-cells")
     out = df.withColumn("__h", F.xxhash64(_text(text)))
     for which, cell in enumerate(_cells(F.col("__h"), cells)):
-        own = bits.filter(F.col("which") == which).select(F.col("bucket").alias(f"__bucket{which}"), F.col("bits").alias(f"__bits{which}"))
-        out = out.withColumn("__cell", cell).withColumn(f"__bucket{which}", F.expr(f"__cell div {BITMAP}")).join(F.broadcast(own), f"__bucket{which}", "left")
-        byte = F.conv(F.hex(F.expr(f"substring(__bits{which}, cast((__cell % {BITMAP}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        hit = F.coalesce(F.expr("shiftright(__byte, cast(__cell % 8 as int))").bitwiseAND(1) == 1, F.lit(False))
-        out = out.withColumn("__byte", byte).withColumn(f"__hit{which}", hit).drop("__byte", "__cell", f"__bucket{which}", f"__bits{which}")
+        out = hit(out, cell, bits.filter(F.col("which") == which), f"__hit{which}")
     return out.withColumn("__maybe", F.col("__hit0") & F.col("__hit1")).drop("__h", "__hit0", "__hit1")
 
 

@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slabs
-from .common import attach, ship, stored
+from .common import attach, likely, ship, stored, tidy
 
 WORDS, THRESHOLD = 5, 0.8
 #: 1 - (1 - 0.8 ** 5) ** 24 = 0.99993 of pairs at the threshold meet in a band.
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
 SMALL = 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 50_000
 SALT = 256
 
 U = np.uint64
@@ -136,7 +136,7 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
-        for slab in slabs(batch.column(1).to_pylist()):
+        for slab in slabs(batch.column(1)):
             told = [shingles(t) for t in slab]
             sizes = np.array([len(h) for h, _ in told])
             full = np.flatnonzero(sizes)
@@ -180,25 +180,55 @@ def _verifier(threshold: float) -> Callable:
     return run
 
 
+#: Pairs or links up to this number take a short way: pairs are broadcast (32 bytes each),
+#: links are joined by union-find in one task.  Beyond it both are shuffled.
+FEW = 250_000
+
+
 def verified(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose exact similarity reaches `threshold`.
 
     A node with many pairs is copied to one salt per SALT of them, so no key is hot.
     """
+    few = pairs.count() <= FEW
+    small = F.broadcast if few else lambda df: df
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
-    right = shingled.join(salts, shingled["node"] == salts["b"]).select("b", "salts", F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
+    right = shingled.join(small(salts), shingled["node"] == salts["b"]).select("b", "salts", F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
-    left = salted.join(shingled.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca")), "a")
-    return left.join(right, ["b", "salt"]).select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(_verifier(threshold), "a binary, b binary")
+    salted = pairs.join(small(salts), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
+    left = shingled.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca")).join(small(salted), "a")
+    return left.join(right, ["b", "salt"]).select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(tidy(_verifier(threshold)), "a binary, b binary")
+
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least node of each component by union-find with path halving."""
+    parent: dict[bytes, bytes] = {}
 
-def components(links: DataFrame, name: str = "labels") -> DataFrame:
+    def root(x: bytes) -> bytes:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([root(x) for x in nodes], pa.binary())], names=["node", "label"])
+
+
+def components(links: DataFrame, name: str = "labels", few: int = FEW) -> DataFrame:
     """(node, label) of every linked node: the least node of its component.
 
-    Labels spread along links and then jump to their label's label, so long chains
-    shrink by halves; each round is a table in the shared folder.
+    Up to `few` links (32 bytes each) one task joins them.  Beyond that labels spread
+    along links and then jump to their label's label, so long chains shrink by halves;
+    each round is a table in the shared folder.
     """
+    if links.count() <= few:
+        return stored(links.select("a", "b").coalesce(1).mapInArrow(_united, "node binary, label binary"), name)
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = stored(both.distinct(), name + "-links")
     labels = stored(near.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
@@ -224,7 +254,8 @@ def first_pairs(bands: DataFrame) -> DataFrame:
 
 
 def more_pairs(bands: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs for buckets that hold several components: small ones whole, others by new centres.
+    """Pairs for buckets that hold several components: small ones whole (in the first turn,
+    which leaves nothing to try in them), others by new centres.
 
     The chief component of a bucket is its largest in even turns and any in odd ones; a
     node of it, another in each turn, meets all nodes of other components.
@@ -232,9 +263,11 @@ def more_pairs(bands: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     own = bands.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     per = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("head"))
     rank = F.struct("n", "label", "head") if turn % 2 == 0 else F.struct(F.xxhash64("label", F.lit(turn)).alias("n"), "label", "head")
-    mixed_buckets = per.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("total"), F.max(rank).alias("chief")).filter("labels > 1 and total > 2")
+    mixed_buckets = per.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("total"), F.max(rank).alias("chief")).filter(f"labels > 1 and total > {SMALL if turn else 2}")
     held = own.join(mixed_buckets, "key")
     by_chief = held.filter(F.col("label") != F.col("chief.label")).select(F.col("node").alias("a"), F.col("chief.head").alias("b"))
+    if turn:
+        return ordered_pairs(by_chief)
     small = held.filter(F.col("total") <= SMALL).select("key", "node", "label")
     other = small.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"))
     whole = small.join(other, "key").filter("label <> other_label and node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
@@ -245,31 +278,28 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     """One row per document: doc_id, class_id (least id of its class), class_size, kept."""
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = stored(base.mapInArrow(_signer, "doc_id long, node binary, keys array<long>"), "near-signed")
+    signed = stored(base.mapInArrow(tidy(_signer), "doc_id long, node binary, keys array<long>"), "near-signed")
     nodes = stored(signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     bands = stored(banded.join(shared, "key").select("key", "node", "n"), "near-bands")
 
     wanted = nodes.select("node", "rep").join(bands.select("node").distinct(), "node", "left_semi")
-    texts = wanted.join(base, wanted["rep"].eqNullSafe(base["doc_id"])).select("node", "text")
-    shingled = stored(texts.mapInArrow(_shingler, "node binary, hashes binary, counts binary").dropDuplicates(["node"]), "near-shingles")
+    reps = likely(base, F.col("doc_id"), wanted.select("rep"), nodes.count())
+    texts = wanted.join(reps, wanted["rep"].eqNullSafe(reps["doc_id"])).select("node", "text")
+    shingled = stored(texts.mapInArrow(tidy(_shingler), "node binary, hashes binary, counts binary").dropDuplicates(["node"]), "near-shingles")
 
     pairs = stored(first_pairs(bands), "near-pairs")
-    tried, links, turn = pairs, stored(verified(pairs, shingled, threshold), "near-links"), 0
+    links, turn = stored(verified(pairs, shingled, threshold), "near-links"), 0
     while True:
         labels = components(links)
-        pairs = stored(more_pairs(bands, labels, turn).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            break
+        pairs = stored(more_pairs(bands, labels, turn), "near-pairs")
         found = stored(verified(pairs, shingled, threshold), "near-links")
         turn += 1
-        if found.isEmpty():
-            if turn >= 2:
-                break
-        else:
+        if not found.isEmpty():
             links = links.unionByName(found)
-        tried = tried.unionByName(pairs)
+        elif turn >= 2 or pairs.isEmpty():
+            break
 
     labelled = nodes.select("node", "n", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
