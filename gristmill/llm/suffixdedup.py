@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slabs
-from .common import attach, ship, stored
+from .common import attach, likely, ship, stored, tidy
 from .probminhash import U, mixed, word_hashes
 
 MIN_WORDS = 50
@@ -76,7 +76,7 @@ def anchors(grams: np.ndarray) -> np.ndarray:
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
-        for slab in slabs(batch.column(1).to_pylist()):
+        for slab in slabs(batch.column(1)):
             row, place, gram = [], [], []
             for i, text in enumerate(slab, at):
                 codes = word_codes(text)
@@ -164,10 +164,12 @@ def _comparer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffixes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Kept suffixes whose gram occurs again: doc_id, place, gram, contexts."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
-    kept = stored(base.mapInArrow(_finder, "doc_id long, place int, gram long"), "suffix-anchors")
+    kept = stored(base.mapInArrow(tidy(_finder), "doc_id long, place int, gram long"), "suffix-anchors")
     again = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     places = attach(kept, again, "gram", "n", kept.count()).groupBy("doc_id").agg(F.collect_set(F.struct("place", "gram")).alias("places"))
-    around = base.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts, "doc_id long, place int, gram long, right binary, left binary")
+    places = stored(places, "suffix-places")
+    near = likely(base, F.col("doc_id"), places.select("doc_id"), places.count())
+    around = near.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(tidy(_contexts), "doc_id long, place int, gram long, right binary, left binary")
     return stored(around, "suffix-contexts")
 
 
@@ -176,7 +178,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     ship(docs.sparkSession)
     order = ["gram", "right", "doc_id", "place"]
     sorted_ = suffixes(docs, id_col, text).repartitionByRange(*order).sortWithinPartitions(*order).select(*_COLUMNS)
-    found = stored(sorted_.mapInArrow(_comparer, "doc_id long, lo int, hi int, part int, place int, gram long, right binary, left binary"), "suffix-matches")
+    found = stored(sorted_.mapInArrow(tidy(_comparer), "doc_id long, lo int, hi int, part int, place int, gram long, right binary, left binary"), "suffix-matches")
     ends = found.filter("part is not null").select("part", *_COLUMNS).collect()  # two rows a partition
     ends.sort(key=lambda r: (r.part, r.gram, bytes(r.right), r.doc_id, r.place))
     back, ahead = extents(np.array([r.gram for r in ends], np.int64), [bytes(r.right) for r in ends], [bytes(r.left) for r in ends])
