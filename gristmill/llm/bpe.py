@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, tidy
 
-#: Entries of each of the two generations of a worker's chunk cache.
-CACHE_ENTRIES = 400_000
+#: Entries of each of the two generations of a task's chunk cache; a worker keeps half as
+#: many for its next task (the first seen, so mostly frequent ones).
+CACHE_ENTRIES = 300_000
 #: White space other than blanks and line feeds.
 ODD_SPACE = re.compile(r"[^\S \n]")
 #: Bytes of text handled together.
@@ -75,7 +77,7 @@ class ChunkCache(dict):
 class Codec:
     """Encoder and decoder of one vocabulary file, with a bounded two-generation cache."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, entries: int = CACHE_ENTRIES):
         import regex
         from tokenizers import Tokenizer, models
 
@@ -107,6 +109,7 @@ class Codec:
             self.lengths[i] = len(raw)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1] if size else np.zeros(0, np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
+        self.entries = entries
         self.cache = ChunkCache(self.merge, {})
 
     def chunks(self, text: str) -> list[str]:
@@ -140,10 +143,16 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         get = self.cache.__getitem__
         out = [np.frombuffer(b"".join(map(get, self.chunks(t))), self.dtype) for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
+        if len(self.cache) > self.entries:
             self.cache = ChunkCache(self.merge, dict(self.cache))
         return out
 
+    def trim(self) -> None:
+        """Keep a bounded part of the cache between tasks."""
+        oldest, kept = self.cache.old or self.cache, self.entries // 2
+        if len(self.cache) + len(self.cache.old) > kept:
+            self.cache = ChunkCache(self.merge, dict(islice(oldest.items(), kept)))
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of `ids`; they need not be whole characters until all are joined."""
         n = self.lengths[ids]
@@ -164,20 +173,21 @@ class Codec:
 
 
 @lru_cache(4)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, entries: int = CACHE_ENTRIES) -> Codec:
+    return Codec(path, pattern, entries)
 
 
-def slabs(texts: list[str | None]) -> Iterator[list[str]]:
+def slabs(texts: pa.Array) -> Iterator[list[str]]:
     """Runs of texts of about SLAB characters, at least one text each; null is empty."""
     run: list[str] = []
     size = 0
-    for t in texts:
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= SLAB:
-            yield run
-            run, size = [], 0
+    for at in range(0, len(texts), 256):
+        for t in texts.slice(at, 256).to_pylist():
+            run.append(t or "")
+            size += len(run[-1])
+            if size >= SLAB:
+                yield run
+                run, size = [], 0
     if run:
         yield run
 
@@ -192,9 +202,8 @@ def _encoder(path: str, pattern: str, keep: list[str], offsets: bool) -> Callabl
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
             at = 0
-            for slab in slabs(texts):
+            for slab in slabs(batch.column(len(keep))):
                 ids = c.encode(slab)
                 cols = [batch.column(i).slice(at, len(slab)) for i in range(len(keep))] + [int_lists(ids)]
                 names = [*keep, "ids"]
@@ -204,6 +213,7 @@ def _encoder(path: str, pattern: str, keep: list[str], offsets: bool) -> Callabl
                     names += ["starts", "ends"]
                 at += len(slab)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        c.trim()
 
     return run
 
@@ -216,7 +226,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
     ints = T.ArrayType(T.IntegerType(), False)
     fields = [df.schema[k] for k in keep] + [T.StructField("ids", ints, False)]
     fields += [T.StructField(n, ints, False) for n in ("starts", "ends")] * offsets
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(_encoder(path, pattern, list(keep), offsets), T.StructType(fields))
+    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(tidy(_encoder(path, pattern, list(keep), offsets)), T.StructType(fields))
 
 
 def _decoder(path: str, pattern: str, names: list[str]) -> Callable:
@@ -238,7 +248,7 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """`df` with `decoded binary`: the bytes of its `ids`, characters split between ids restored."""
     ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
-    return df.mapInArrow(_decoder(path, pattern, df.columns), schema)
+    return df.mapInArrow(tidy(_decoder(path, pattern, df.columns)), schema)
 
 
 def digests(df: DataFrame) -> DataFrame:
@@ -252,5 +262,12 @@ def digests(df: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode whole texts, decode the ids, and return the digests of both."""
-    return digests(decode(encode(docs, path, pattern), path, pattern))
+    """Encode whole texts, decode the ids, and return the digests of both.
+
+    Encoder and decoder run one behind the other in the same worker.
+    """
+    ship(docs.sparkSession)
+    encoder, decoder = _encoder(path, pattern, ["doc_id"], False), _decoder(path, pattern, ["doc_id", "ids"])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)])
+    both = docs.select("doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(tidy(lambda batches: decoder(encoder(batches))), schema)
+    return digests(both)

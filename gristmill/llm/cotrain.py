@@ -167,13 +167,14 @@ def _columns(df: DataFrame, text: str) -> list[Column]:
 
 
 def _features(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """doc_id, statistics of the text, and the raw metadata."""
+
     def run(batches):
         for pdf in batches:
-            rows = [(i, text_features(t), meta_features(s, g, n)) for i, t, s, g, n in zip(pdf["doc_id"], *(pdf[c] for c in "tsgn"))]
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "meta"])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [text_features(t) for t in pdf["t"]], "s": pdf["s"], "g": pdf["g"], "n": pdf["n"]})
 
     t, s, g, n = _columns(df, text)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("t"), s.alias("s"), g.alias("g"), n.alias("n")).mapInPandas(run, "doc_id long, text array<double>, meta array<double>")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("t"), s.alias("s"), g.alias("g"), n.alias("n")).mapInPandas(run, "doc_id long, text array<double>, s string, g string, n double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model | None:
@@ -195,10 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     fold = np.array([zlib.crc32(str(r.doc_id).encode()) % 4 == 0 for r in own], bool)
     if any(len(set(part.tolist())) < 2 for part in (y, y[~fold] if len(y) else y)):
         return None
-    matrix = lambda part, name: np.array([r[name] for r in part]).reshape(len(part), -1)
+    texts = lambda part: np.array([r.text for r in part]).reshape(len(part), -1)
+    metas = lambda part: np.array([meta_features(r.s, r.g, r.n) for r in part]).reshape(len(part), -1)
     shape = lambda part, like: part if part.size else np.zeros((0, like.shape[1]))
-    t, m = matrix(own, "text"), matrix(own, "meta")
-    return cotrain(t, m, y, shape(matrix(rest, "text"), t), shape(matrix(rest, "meta"), m), fold)
+    t, m = texts(own), metas(own)
+    return cotrain(t, m, y, shape(texts(rest), t), shape(metas(rest), m), fold)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", keep: float = KEEP) -> DataFrame:

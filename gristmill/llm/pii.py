@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import ship, stored, tidy
 
 BASE = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base kinds; [0-9]+ runs are entered at their first digit only.
@@ -163,7 +163,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """Base spans and voted candidates of each document."""
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        _finder, "doc_id long, base array<struct<kind:string,start:int,end:int>>, more array<struct<kind:string,start:int,end:int,votes:string,features:string>>"
+        tidy(_finder), "doc_id long, base array<struct<kind:string,start:int,end:int>>, more array<struct<kind:string,start:int,end:int,votes:string,features:string>>"
     )
 
 
@@ -244,4 +244,4 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     found = stored(find(docs, id_col, text), "pii-spans")
     counted = found.select(F.explode("more").alias("m")).groupBy("m.kind", "m.votes", "m.features").count()
     patterns = sorted((r[0], r[1], r[2], r[3]) for r in counted.limit(MAX_PATTERNS).collect())  # all there can be
-    return found.mapInArrow(_judge(train(patterns)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInArrow(tidy(_judge(train(patterns))), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -33,8 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, slabs
-from .common import ship, stored
+from .common import ship, stored, tidy
 
+#: Entries of a generation of the encoder's chunk cache.
+CACHE_ENTRIES = 500_000
 #: Ids of one shard, at least one document.
 SHARD_IDS = 1 << 20
 #: Rounds of replacement, pairs replaced in a round, and the least count of a pair.
@@ -156,7 +158,7 @@ class Shard:
 
 def _writer(path: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, CACHE_ENTRIES)
         first_rule = len(c.lengths) + 1
         end = np.array([end_id], np.uint32)
         docs: list[int | None] = []
@@ -169,7 +171,7 @@ def _writer(path: str, pattern: str, end_id: int):
 
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
-            for slab in slabs(batch.column(1).to_pylist()):
+            for slab in slabs(batch.column(1)):
                 for a in c.encode(slab):
                     docs.append(ids[at])
                     arrays.append(np.concatenate([a, end]).astype(np.uint32))
@@ -180,8 +182,9 @@ def _writer(path: str, pattern: str, end_id: int):
                         docs, arrays, size, part = [], [], 0, part + 1
         if docs:
             yield shard()
+        c.trim()
 
-    return run
+    return tidy(run)
 
 
 def write_shards(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> DataFrame:
@@ -215,4 +218,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
     order = Window.orderBy(F.asc_nulls_first("first_id"), "part").rowsBetween(Window.unboundedPreceding, -1)
     before = shards.select("first_id", "part", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
     same = shards["first_id"].eqNullSafe(before["first_id"]) & (shards["part"] == before["part"])
-    return shards.join(before, same).select("start", "shard").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long, n_symbols long")
+    return shards.join(before, same).select("start", "shard").mapInArrow(tidy(_reader), "doc_id long, start long, n_tokens long, ids_crc32 long, n_symbols long")
