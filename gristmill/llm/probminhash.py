@@ -11,7 +11,9 @@ Documents with equal shingle counts collapse into one node first, so copies are
 paired.  A bucket of n nodes gives n - 1 pairs, with its most central node, not all
 pairs; verified links are joined into components, and buckets that still hold several
 components are tried again with other nodes at their centre (all pairs, in buckets of at
-most SMALL nodes) until no round finds a link.
+most SMALL nodes) until no round finds a link.  Nodes of larger buckets that hold several
+components even then are blocked by their rarest shingles, a prefix that two nodes at the
+threshold must share; all pairs of a block between components are verified.
 
 Defined results.  Null, empty and blank texts have no shingles and are classes of their
 own.  Texts of one to four words are one shingle.  Very long texts are read whole.  Rows
@@ -27,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slabs
@@ -274,6 +276,49 @@ def more_pairs(bands: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return ordered_pairs(by_chief.unionByName(whole))
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of each node with their counts and the node's total."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            hashes = [np.frombuffer(h.as_buffer(), np.int64) for h in part.column(1)]
+            counts = [np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64) if len(c.as_buffer()) else np.ones(len(h), np.int64) for h, c in zip(hashes, part.column(2))]
+            sizes = np.array([len(h) for h in hashes])
+            total = np.repeat(np.array([c.sum() for c in counts]), sizes)
+            node = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
+            yield pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts)), pa.array(total)], names=["node", "h", "c", "total"])
+
+
+def open_nodes(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label) of buckets of more than SMALL nodes that hold several components."""
+    own = bands.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    still = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter(f"n > {SMALL} and low <> high")
+    return own.join(still.select("key"), "key").select("node", "label").distinct()
+
+
+def rest_pairs(nodes: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of `nodes` (node, label) with different labels that can reach `threshold`.
+
+    The similarity is at most the sum of the lesser shares of common shingles.  With
+    shingles in one order, rare ones first, two nodes whose foremost shares above
+    1 - `threshold` have no shingle in common stay below it.  In a block of one shingle
+    all nodes outside its largest component meet all nodes, in salted parts.
+    """
+    told = shingled.join(nodes, "node", "left_semi").select("node", "hashes", "counts")
+    elements = stored(told.mapInArrow(tidy(_elements), "node binary, h long, c long, total long"), "near-elements")
+    df = elements.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rare_first = Window.partitionBy("node").orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)
+    before = attach(elements, df, "h", "n", elements.count()).withColumn("before", F.coalesce(F.sum("c").over(rare_first), F.lit(0)))
+    prefix = before.filter((F.col("before") <= (1 - threshold + 1e-6) * F.col("total")) & (F.col("n") > 1)).select("h", "node").join(nodes, "node")
+    prefix = stored(prefix.select("h", "node", "label"), "near-prefixes")
+    per = prefix.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"))
+    blocks = per.groupBy("h").agg(F.max(F.struct("n", "label"))["label"].alias("chief"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    held = attach(prefix, blocks.drop("labels"), "h", "n", prefix.count()).withColumn("salts", F.ceil(F.col("n") / SALT).cast("int"))
+    dealt = held.select("h", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.col("node").alias("b"), F.col("label").alias("other"))
+    strays = held.filter("label <> chief").select("h", F.col("node").alias("a"), "label", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return ordered_pairs(strays.join(dealt, ["h", "salt"]).filter("label <> other").select("a", "b"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (least id of its class), class_size, kept."""
     ship(docs.sparkSession)
@@ -300,6 +345,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
             links = links.unionByName(found)
         elif turn >= 2 or pairs.isEmpty():
             break
+    rest = stored(open_nodes(bands, labels), "near-open")
+    if not rest.isEmpty():
+        pairs = stored(rest_pairs(rest, shingled, threshold), "near-pairs")
+        found = stored(verified(pairs, shingled, threshold), "near-links")
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
 
     labelled = nodes.select("node", "n", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))

@@ -85,3 +85,15 @@ def test_components_of_a_long_chain(spark):
     for few in (0, 10**6):  # spread over the cluster, and in one task
         got = {bytes(r.node): bytes(r.label) for r in pm.components(links, few=few).collect()}
         assert {got[name(i)] for i in range(41)} == {name(0)} and got[name(200)] == name(100)
+
+
+def test_large_buckets_are_compared_whole(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common, texts = [word() for _ in range(304)], []
+    for _ in range(150):  # 0.78 to all others, 0.81 to the own partner
+        pair = [word() for _ in range(7)]
+        texts += [" ".join(common + pair + [word() for _ in range(36)]) for _ in range(2)]
+    assert brute_similarity(texts[0], texts[1]) >= 0.805 and brute_similarity(texts[0], texts[2]) < 0.795
+    got = pm.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(300)}
