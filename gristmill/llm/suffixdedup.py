@@ -9,6 +9,11 @@ with their neighbours; a match is extended to the right and to the left of the k
 position.  Matches of MIN_WORDS words or more are repeats, and those of one document
 that touch join into spans.
 
+Neighbours share the longest right part, not always the longest left part.  So where more
+than two suffixes have one gram, the windows of MIN_WORDS words around the kept place that
+some other suffix's right part allows are counted by their hashes as well.  A window that
+the suffix before has too is left to that one.
+
 Suffixes are sorted by range, with the document and place as last keys: a passage that
 a third of all documents share is spread over as many tasks as its size asks for.  Rows
 at the ends of sorted partitions, two a partition, are compared on the driver.  Each
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slabs
 from .common import attach, likely, ship, stored, tidy
-from .probminhash import U, mixed, word_hashes
+from .probminhash import _STEP, U, mixed, word_hashes
 
 MIN_WORDS = 50
 GRAM, WINDOW = 20, 31
@@ -132,29 +137,84 @@ def extents(gram: np.ndarray, right: list[bytes], left: list[bytes]) -> tuple[np
     return back, ahead
 
 
+def window_keys(gram: np.ndarray, right: list[bytes], left: list[bytes]) -> np.ndarray:
+    """Hashes (suffixes x LEFT + 1) of the MIN_WORDS words from `o` words before each place on."""
+
+    def sums(column: list[bytes], step: np.uint64) -> np.ndarray:
+        codes = np.frombuffer(b"".join([x[: 4 * LEFT].ljust(4 * LEFT, b"\0") for x in column]), np.uint32).reshape(len(column), LEFT)
+        out = np.zeros((len(column), LEFT + 1), np.uint64)
+        np.cumsum(mixed(codes.astype(np.uint64) + step * np.arange(1, LEFT + 1, dtype=np.uint64)), 1, out=out[:, 1:])
+        return out
+
+    offsets = mixed(_STEP[2] * np.arange(1, LEFT + 2, dtype=np.uint64))
+    return mixed(mixed(gram.view(np.uint64))[:, None] + sums(left, _STEP[0]) + sums(right, _STEP[1])[:, ::-1] + offsets).view(np.int64)
+
+
+def windows(gram: np.ndarray, right: list[bytes], left: list[bytes], first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index, words before the place, and key of windows to count, of suffixes `first` to `last` - 1.
+
+    What is beyond the list's ends is unknown, and no window is left out for it.
+    """
+    n = len(gram)
+    same = gram[:-1] == gram[1:]
+    shared = np.where(same, shared_prefix(right, RIGHT), -1) if n > 1 else np.zeros(0, np.int64)
+    back = np.where(same, shared_prefix(left, LEFT), -1) if n > 1 else shared
+    far = np.array([RIGHT])
+    reach = np.maximum(np.concatenate([far, shared]), np.concatenate([shared, far]))
+    before, after = np.concatenate([[True], same]), np.concatenate([same, [True]])
+    two = np.zeros(n, bool)  # groups of two suffixes, which are compared already
+    two[1:-2] |= after[1:-2] & ~before[1:-2] & ~after[2:-1]
+    two[2:-1] |= before[2:-1] & ~after[2:-1] & ~before[1:-2]
+    sizes = [np.array([len(x) // 4 for x in c]) for c in (left, right)]
+    wanted = np.zeros(n, bool)
+    wanted[first:last] = True
+    at = np.flatnonzero(wanted & ~two & (reach >= 0))
+    o = np.arange(LEFT + 1)
+    need = MIN_WORDS - GRAM - o
+    good = (need <= np.minimum(reach, sizes[1])[at, None]) & (o <= sizes[0][at, None])
+    good &= ~((need <= np.concatenate([[-1], shared])[at, None]) & (o <= np.concatenate([[-1], back])[at, None]))
+    rows, o = np.nonzero(good)
+    return at[rows], o, window_keys(gram[at], [right[i] for i in at], [left[i] for i in at])[rows, o]
+
+
 _COLUMNS = ("doc_id", "place", "gram", "right", "left")
 
 
 def _comparer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of sorted suffixes with their neighbours; then the partition's two end rows."""
+    """Matches of sorted suffixes with their neighbours, and windows to count; then the partition's two end rows.
+
+    The last row waits for the next batch, which shows what follows it.
+    """
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     names = ["doc_id", "lo", "hi", "part", "place", "gram", "right", "left"]
     first = last = None
+
+    def counted(rows: pa.Table, lo: int, hi: int) -> pa.RecordBatch:
+        at, o, keys = windows(rows.column("gram").to_numpy(), rows.column("right").to_pylist(), rows.column("left").to_pylist(), lo, hi)
+        none = pa.nulls(len(at))
+        start = (rows.column("place").to_numpy()[at] - o).astype(np.int32)
+        return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at)).combine_chunks(), pa.array(start), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int32()), pa.array(keys), none.cast(pa.binary()), none.cast(pa.binary())], names=names)
+
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
+        seen = 0 if last is None else last.num_rows
         first = rows.slice(0, 1) if first is None else first
         if last is not None:
             rows = pa.concat_tables([last, rows])
-        last = rows.slice(rows.num_rows - 1)
+        last = rows.slice(max(0, rows.num_rows - 2))
         back, ahead = extents(rows.column("gram").to_numpy(), rows.column("right").to_pylist(), rows.column("left").to_pylist())
         hit = np.flatnonzero(ahead)
         place = rows.column("place").to_numpy()[hit]
         none = pa.nulls(len(hit))
         yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(hit)).combine_chunks(), pa.array((place - back[hit]).astype(np.int32)), pa.array((place + ahead[hit]).astype(np.int32)), *(none.cast(t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+        yield counted(rows, max(0, seen - 1), rows.num_rows - 1)
+    if last is not None:
+        yield counted(last, last.num_rows - 1, last.num_rows)
+        last = last.slice(last.num_rows - 1)
     if first is not None:
         ends = pa.concat_tables([first, last])
         none = pa.nulls(2).cast(pa.int32())
@@ -183,7 +243,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     ends.sort(key=lambda r: (r.part, r.gram, bytes(r.right), r.doc_id, r.place))
     back, ahead = extents(np.array([r.gram for r in ends], np.int64), [bytes(r.right) for r in ends], [bytes(r.left) for r in ends])
     more = [(r.doc_id, int(r.place - b), int(r.place + a)) for r, b, a in zip(ends, back, ahead) if a]
-    ranges = found.filter("part is null").select("doc_id", "lo", "hi")
+    ranges = found.filter("part is null and hi is not null").select("doc_id", "lo", "hi")
+    counted = found.filter("part is null and hi is null").select("doc_id", "lo", F.col("gram").alias("key"))
+    again = counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    total = counted.count()
+    if total:
+        ranges = ranges.unionByName(attach(counted, stored(again, "suffix-windows"), "key", "n", total).select("doc_id", "lo", (F.col("lo") + MIN_WORDS).alias("hi")))
     if more:
         ranges = ranges.unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, lo int, hi int"))
     earlier = Window.partitionBy("doc_id").orderBy("lo", "hi")

@@ -60,3 +60,20 @@ def test_spans_match_brute_force(spark):
         got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
     assert got == brute(texts)
     assert sd.repeated_spans(df.limit(0)).count() == 0
+
+
+def test_passages_that_end_in_a_common_line(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    fresh = lambda n: [word() for _ in range(n)]
+    line, texts = fresh(30), []
+    for n in (50, 55, 60):
+        for _ in range(40):
+            passage = fresh(n - 30) + line
+            texts += [" ".join(fresh(30) + passage + fresh(30)) for _ in range(2)]
+    texts += [" ".join(fresh(40) + line + fresh(40)) for _ in range(300)]
+    texts = list(enumerate(texts))
+    got = {}
+    for r in sd.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == brute(texts) and len(got) == 240
