@@ -148,7 +148,7 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = band_keys(signatures(np.concatenate([told[i][0] for i in full]), np.concatenate([told[i][1] for i in full]).astype(float), doc, len(full)))
             ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
             prints = [print_of(h, c) if len(h) else None for h, c in told]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(slab)), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(slab)), batch.column(2).slice(at, len(slab)), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))], names=["doc_id", "text_hash", "node", "keys"])
             at += len(slab)
 
 
@@ -321,9 +321,15 @@ def rest_pairs(nodes: DataFrame, shingled: DataFrame, threshold: float) -> DataF
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (least id of its class), class_size, kept."""
+    return classified(docs, id_col, text, threshold).drop("text_hash")
+
+
+def classified(docs: DataFrame, id_col: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """`near_classes` with the hash of each row's text, which tells rows of one id apart."""
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = stored(base.mapInArrow(tidy(_signer), "doc_id long, node binary, keys array<long>"), "near-signed")
+    hashed = base.withColumn("text_hash", F.xxhash64("text"))
+    signed = stored(hashed.mapInArrow(tidy(_signer), "doc_id long, text_hash long, node binary, keys array<long>"), "near-signed")
     nodes = stored(signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -355,12 +361,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     labelled = nodes.select("node", "n", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     member = stored(labelled.join(classes, "label").select("node", "n", "class_id", "class_size"), "near-classes")
-    known = attach(signed.filter("node is not null").select("doc_id", "node"), member, "node", "n", signed.count())
-    alone = signed.filter("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return known.select("doc_id", "class_id", "class_size").unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    known = attach(signed.filter("node is not null").select("doc_id", "text_hash", "node"), member, "node", "n", signed.count())
+    alone = signed.filter("node is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return known.select("doc_id", "text_hash", "class_id", "class_size").unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the documents that a class's smallest id stands for."""
-    gone = near_classes(docs, id_col, text).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stored(gone, "near-gone"), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """`docs` without the rows that a class's smallest id stands for; each row goes or stays by its own text."""
+    gone = classified(docs, id_col, text).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    own = docs[id_col].cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(docs[text].cast("string")) == F.col("__hash"))
+    return docs.join(stored(gone, "near-gone"), own, "left_anti")

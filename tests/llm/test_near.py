@@ -97,3 +97,14 @@ def test_large_buckets_are_compared_whole(spark):
     assert brute_similarity(texts[0], texts[1]) >= 0.805 and brute_similarity(texts[0], texts[2]) < 0.795
     got = pm.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(300)}
+
+
+def test_copies_are_dropped_by_row(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, other, third = ([word() for _ in range(100)] for _ in range(3))
+    near = " ".join(base[:-1] + ["end"])
+    base, other, third = map(" ".join, (base, other, third))
+    rows = [(1, base), (None, near), (None, other), (7, near), (7, third), (None, ""), (7, None)]
+    left = pm.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, base), (None, other), (7, third), (None, ""), (7, None)], key=str)
