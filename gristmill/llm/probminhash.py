@@ -9,11 +9,12 @@ each candidate pair is verified by the exact probability Jaccard of whole texts.
 
 Documents with equal shingle counts collapse into one node first, so copies are never
 paired.  A bucket of n nodes gives n - 1 pairs, with its most central node, not all
-pairs; verified links are joined into components, and buckets that still hold several
-components are tried again with other nodes at their centre (all pairs, in buckets of at
-most SMALL nodes) until no round finds a link.  Nodes of larger buckets that hold several
-components even then are blocked by their rarest shingles, a prefix that two nodes at the
-threshold must share; all pairs of a block between components are verified.
+pairs; verified links are joined into components.  Only buckets that still hold several
+components stay open.  In open buckets of at most SMALL nodes all pairs between components
+are verified; nodes of larger ones are blocked by their rarest shingles, a prefix of which
+two nodes at the threshold must share one, and all pairs of a block between components
+that can still reach the threshold are verified.  After that no pair that meets in a band
+is left untried.
 
 Defined results.  Null, empty and blank texts have no shingles and are classes of their
 own.  Texts of one to four words are one shingle.  Very long texts are read whole.  Rows
@@ -25,11 +26,12 @@ columns are ignored by the operator and kept by `drop_near_copies`.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slabs
@@ -40,6 +42,10 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
 SMALL = 16
+#: 64-bit words of a node's bit map of shingles.
+MAP_LONGS = 16
+#: Bits of the cell of a shingle, by which common shingles are told from rare ones.
+CELL_BITS = 20
 CACHE_WORDS = 50_000
 SALT = 256
 
@@ -255,25 +261,101 @@ def first_pairs(bands: DataFrame) -> DataFrame:
     return ordered_pairs(bands.join(centres, "key").select(F.col("node").alias("a"), F.col("centre").alias("b")))
 
 
-def more_pairs(bands: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs for buckets that hold several components: small ones whole (in the first turn,
-    which leaves nothing to try in them), others by new centres.
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per node: distinct shingles, their total count, and a bit map of 64 * MAP_LONGS bits of them."""
+    for batch in batches:
+        hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in batch.column(1)]
+        total = [int(np.frombuffer(c.as_buffer(), np.uint32).sum()) if len(c.as_buffer()) else len(h) for h, c in zip(hashes, batch.column(2))]
+        bits = np.zeros((len(hashes), 64 * MAP_LONGS), bool)
+        for i, h in enumerate(hashes):
+            bits[i, (h % U(64 * MAP_LONGS)).astype(np.int64)] = True
+        maps = np.packbits(bits, axis=1).view(np.int64)
+        sizes = pa.array([len(h) for h in hashes], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(total, pa.int64()), *(pa.array(maps[:, j].copy()) for j in range(MAP_LONGS))], names=["node", "d", "t", *(f"m{j}" for j in range(MAP_LONGS))])
+
+
+def open_buckets(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, n, node, label) of buckets that hold several components; all others are settled."""
+    few = F.broadcast if labels.count() <= FEW else lambda df: df
+    own = bands.filter("n > 2").join(few(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    still = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    return attach(own, still.select("key", "n"), "key", "n", bands.count())
+
+
+def small_pairs(buckets: DataFrame) -> DataFrame:
+    """All pairs between components in open buckets of at most SMALL nodes."""
+    small = buckets.filter(F.col("n") <= SMALL).select("key", "node", "label")
+    other = small.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"))
+    return small.join(other, "key").filter("label <> other_label and node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
 
-    The chief component of a bucket is its largest in even turns and any in odd ones; a
-    node of it, another in each turn, meets all nodes of other components.
-    """
-    own = bands.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    per = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("head"))
-    rank = F.struct("n", "label", "head") if turn % 2 == 0 else F.struct(F.xxhash64("label", F.lit(turn)).alias("n"), "label", "head")
-    mixed_buckets = per.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("total"), F.max(rank).alias("chief")).filter(f"labels > 1 and total > {SMALL if turn else 2}")
-    held = own.join(mixed_buckets, "key")
-    by_chief = held.filter(F.col("label") != F.col("chief.label")).select(F.col("node").alias("a"), F.col("chief.head").alias("b"))
-    if turn:
-        return ordered_pairs(by_chief)
-    small = held.filter(F.col("total") <= SMALL).select("key", "node", "label")
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for h, c in zip(batch.column(1), batch.column(2)):
+        hashes, counts = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32)
+        yield hashes, counts.astype(np.int64) if len(counts) else np.ones(len(hashes), np.int64)
+
+
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cell_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many nodes hold a shingle of each cell, per task."""
+    total = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        for hashes, _ in _read(batch):
+            np.add.at(total, cell_of(hashes), 1)
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+
+
+def _prefixer(common: np.ndarray, room: float) -> Callable:
+    """Foremost shingles of each node, those of rare cells first, and what x / (1 - x) is before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, out, before = [], [], []
+            for i, (hashes, counts) in enumerate(_read(batch)):
+                n = common[cell_of(hashes)]
+                order = np.lexsort((hashes, n))
+                upto = np.cumsum(counts[order]) - counts[order]
+                x = upto / (counts.sum() - upto)
+                keep = (x <= room) & (n[order] > 1)
+                node.append(np.full(int(keep.sum()), i))
+                out.append(hashes[order][keep].view(np.int64))
+                before.append(x[keep])
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), batch.column(0).take(pa.array(np.concatenate(node))), pa.array(np.concatenate(before))], names=["h", "node", "x"])
+
+    return run
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per node: distinct shingles, their total count, and a bit map of 64 * MAP_LONGS bits of them."""
+    for batch in batches:
+        hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in batch.column(1)]
+        total = [int(np.frombuffer(c.as_buffer(), np.uint32).sum()) if len(c.as_buffer()) else len(h) for h, c in zip(hashes, batch.column(2))]
+        bits = np.zeros((len(hashes), 64 * MAP_LONGS), bool)
+        for i, h in enumerate(hashes):
+            bits[i, (h % U(64 * MAP_LONGS)).astype(np.int64)] = True
+        maps = np.packbits(bits, axis=1).view(np.int64)
+        sizes = pa.array([len(h) for h in hashes], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(total, pa.int64()), *(pa.array(maps[:, j].copy()) for j in range(MAP_LONGS))], names=["node", "d", "t", *(f"m{j}" for j in range(MAP_LONGS))])
+
+
+def open_buckets(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, n, node, label) of buckets that hold several components; all others are settled."""
+    few = F.broadcast if labels.count() <= FEW else lambda df: df
+    own = bands.filter("n > 2").join(few(labels), "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
+    still = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return own.join(still.select("key"), "key")
+
+
+def small_pairs(buckets: DataFrame) -> DataFrame:
+    """All pairs between components in open buckets of at most SMALL nodes."""
+    small = buckets.filter(F.col("n") <= SMALL).select("key", "node", "label")
     other = small.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    whole = small.join(other, "key").filter("label <> other_label and node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    return ordered_pairs(by_chief.unionByName(whole))
+    return small.join(other, "key").filter("label <> other_label and node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,34 +371,39 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts)), pa.array(total)], names=["node", "h", "c", "total"])
 
 
-def open_nodes(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, label) of buckets of more than SMALL nodes that hold several components."""
-    own = bands.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    still = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter(f"n > {SMALL} and low <> high")
-    return own.join(still.select("key"), "key").select("node", "label").distinct()
-
-
 def rest_pairs(nodes: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
     """All pairs of `nodes` (node, label) with different labels that can reach `threshold`.
 
-    The similarity is at most the sum of the lesser shares of common shingles.  With
-    shingles in one order, rare ones first, two nodes whose foremost shares above
-    1 - `threshold` have no shingle in common stay below it.  In a block of one shingle
-    all nodes outside its largest component meet all nodes, in salted parts.
+    If shares x and y of two nodes lie in shingles that the other lacks, their similarity
+    is at most 1 / (1 + x / (1 - x) + y / (1 - y)).  With shingles in one order, all before
+    the first common one are such; so it is enough to look at pairs in the block of a
+    shingle before which both sums of x / (1 - x) together are at most 1 / `threshold` - 1.
+    The order is by how often a shingle's cell occurs, rare ones first (any order is right;
+    2 ** CELL_BITS counts, the proven bound of what is broadcast, make blocks small).  Bits
+    that differ in the nodes' bit maps bound the number of common shingles, and so both
+    shares, once more.  In a block all nodes outside its largest component meet all nodes,
+    in salted parts; the join itself makes only pairs that both bounds allow.
     """
-    told = shingled.join(nodes, "node", "left_semi").select("node", "hashes", "counts")
-    elements = stored(told.mapInArrow(tidy(_elements), "node binary, h long, c long, total long"), "near-elements")
-    df = elements.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    rare_first = Window.partitionBy("node").orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)
-    before = attach(elements, df, "h", "n", elements.count()).withColumn("before", F.coalesce(F.sum("c").over(rare_first), F.lit(0)))
-    prefix = before.filter((F.col("before") <= (1 - threshold + 1e-6) * F.col("total")) & (F.col("n") > 1)).select("h", "node").join(nodes, "node")
-    prefix = stored(prefix.select("h", "node", "label"), "near-prefixes")
+    room = 1 / threshold - 1 + 1e-6
+    told = stored(shingled.join(nodes, "node", "left_semi").select("node", "hashes", "counts"), "near-told")
+    counted = told.mapInArrow(tidy(_cell_counter), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << CELL_BITS, np.int32)
+    common[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    prefix = stored(told.mapInArrow(tidy(_prefixer(common, room)), "h long, node binary, x double").join(nodes, "node"), "near-prefixes")
     per = prefix.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"))
     blocks = per.groupBy("h").agg(F.max(F.struct("n", "label"))["label"].alias("chief"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     held = attach(prefix, blocks.drop("labels"), "h", "n", prefix.count()).withColumn("salts", F.ceil(F.col("n") / SALT).cast("int"))
-    dealt = held.select("h", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.col("node").alias("b"), F.col("label").alias("other"))
-    strays = held.filter("label <> chief").select("h", F.col("node").alias("a"), "label", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return ordered_pairs(strays.join(dealt, ["h", "salt"]).filter("label <> other").select("a", "b"))
+    longs = [f"m{j}" for j in range(MAP_LONGS)]
+    outlines = told.mapInArrow(tidy(_outlines), "node binary, d long, t long, " + ", ".join(f"{m} long" for m in longs))
+    held = stored(held.join(outlines, "node"), "near-blocks")
+    own, theirs = ["x", "d", "t", *longs], ["y", "e", "u", *(f"n{j}" for j in range(MAP_LONGS))]
+    dealt = held.select("h", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.col("node").alias("b"), F.col("label").alias("other"), *(F.col(c).alias(n) for c, n in zip(own, theirs)))
+    strays = held.filter("label <> chief").select("h", F.col("node").alias("a"), "label", *own, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    apart = reduce(add, (F.bit_count(F.col(f"m{j}").bitwiseXOR(F.col(f"n{j}"))) for j in range(MAP_LONGS)))
+    common = (F.col("d") + F.col("e") - apart) / 2  # at most; the k most frequent of d shingles hold at most k + t - d
+    spare = F.greatest(F.lit(1.0), F.col("t") / (common + F.col("t") - F.col("d"))) + F.greatest(F.lit(1.0), F.col("u") / (common + F.col("u") - F.col("e")))
+    fit = (F.col("label") != F.col("other")) & (F.col("x") + F.col("y") <= room) & (common >= 1) & (spare - 2 <= room)
+    return ordered_pairs(strays.join(dealt, ["h", "salt"]).filter(fit).select("a", "b"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -341,19 +428,15 @@ def classified(docs: DataFrame, id_col: str, text: str, threshold: float = THRES
     shingled = stored(texts.mapInArrow(tidy(_shingler), "node binary, hashes binary, counts binary").dropDuplicates(["node"]), "near-shingles")
 
     pairs = stored(first_pairs(bands), "near-pairs")
-    links, turn = stored(verified(pairs, shingled, threshold), "near-links"), 0
-    while True:
-        labels = components(links)
-        pairs = stored(more_pairs(bands, labels, turn), "near-pairs")
-        found = stored(verified(pairs, shingled, threshold), "near-links")
-        turn += 1
-        if not found.isEmpty():
-            links = links.unionByName(found)
-        elif turn >= 2 or pairs.isEmpty():
-            break
-    rest = stored(open_nodes(bands, labels), "near-open")
-    if not rest.isEmpty():
-        pairs = stored(rest_pairs(rest, shingled, threshold), "near-pairs")
+    links = stored(verified(pairs, shingled, threshold), "near-links")
+    labels = components(links)
+    buckets = stored(open_buckets(bands, labels), "near-open")
+    if not buckets.isEmpty():
+        pairs = small_pairs(buckets)
+        large = buckets.filter(F.col("n") > SMALL).select("node", "label").distinct()
+        if not large.isEmpty():
+            pairs = pairs.unionByName(rest_pairs(stored(large, "near-open"), shingled, threshold))
+        pairs = stored(pairs.distinct(), "near-pairs")
         found = stored(verified(pairs, shingled, threshold), "near-links")
         if not found.isEmpty():
             labels = components(links.unionByName(found))
