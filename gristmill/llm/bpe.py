@@ -32,7 +32,7 @@ from .common import ship, tidy
 
 #: Entries of each of the two generations of a task's chunk cache; a worker keeps half as
 #: many for its next task (the first seen, so mostly frequent ones).
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 60_000
 #: White space other than blanks and line feeds.
 ODD_SPACE = re.compile(r"[^\S \n]")
 #: Bytes of text handled together.
@@ -172,7 +172,7 @@ class Codec:
         return char[starts].astype(np.int32), (char[ends - 1] + 1).astype(np.int32)
 
 
-@lru_cache(4)
+@lru_cache(1)
 def codec(path: str, pattern: str, entries: int = CACHE_ENTRIES) -> Codec:
     return Codec(path, pattern, entries)
 

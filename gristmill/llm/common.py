@@ -10,13 +10,25 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.session import ship  # noqa: F401  operators take it from here
+from gristmill import session
 
 #: Groups holding at least 1/HOT_SHARE of all rows are "hot"; there are at most
 #: HOT_SHARE of them, which is the proven bound of every broadcast of hot groups.
 HOT_SHARE = 512
 
 
+#: Arrow batches for Python workers: rows and bytes at most, where the session names none.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the session ready for Python tasks: the package is sent, batches are small."""
+    session.ship(spark)
+    for name, value in BATCH.items():
+        if spark.conf.get(name, "1") == "1":
+            spark.conf.set(name, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,18 +58,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released() -> None:
+    """Hand freed memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """A Python task that hands freed memory back when it ends; workers outlive tasks."""
 
     def wrapped(batches: Iterator) -> Iterator:
-        import ctypes
-
-        import pyarrow as pa
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        released()
 
     return wrapped
 
