@@ -3,10 +3,20 @@
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns the columns of `documents`; the last one returns the encoded documents.  A
 document that the mix takes twice is there twice afterwards.
+
+Defined results.  Null and empty texts are scored like all others and count as one text;
+one such row stays.  They hold no word, so the mix never takes them.  Very long texts are
+read whole.  Null ids come below all others in exact dedup, and stay in near dedup only
+where no row with an id is near.  Rows that repeat an id are judged by their own texts;
+of equal rows one stays, until the mix repeats it.  A null source is a source of its own,
+missing metadata count as null.  An empty table gives an empty table at every stage.
+Extra columns are carried, also those whose names a stage uses for its own results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +25,21 @@ from gristmill.llm import bpe, cotrain, exactdedup, mixing, probminhash
 from gristmill.llm.common import stored, table
 
 
+def beside(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`work(docs)` with the columns of `docs`; its own columns named like `names` are kept aside meanwhile."""
+    aside = {c: f"__own_{c}" for c in docs.columns if c in names}
+    return work(docs.withColumnsRenamed(aside)).select(*(F.col(aside[c]).alias(c) if c in aside else F.col(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
-    return cotrain.score(docs, model).filter("kept").select(*docs.columns)
+    return beside(docs, cotrain.OUT, lambda d: cotrain.score(d, model).filter("kept"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the largest doc_id stays."""
-    return exactdedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+    return beside(docs, exactdedup.OUT, lambda d: exactdedup.exact_dedup(d).filter("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +49,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    taken = mixing.mix(docs).filter("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    repeat = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return beside(docs, mixing.OUT, lambda d: mixing.mix(d).filter("copies > 0").withColumn("__copy", repeat))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
