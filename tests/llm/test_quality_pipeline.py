@@ -107,3 +107,27 @@ def test_each_stage_against_brute_force(stages, spark):
 
 def test_run_equals_stages(stages, spark):
     assert Counter(map(tuple, cp.run(spark, SF).collect())) == Counter(map(tuple, stages[-1]))
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in base]
+    long = " ".join(f"{r.text}" for r in base) * 20
+    rows += [(None, None, None, None, None), (None, "", "en", None, 0), (None, base[0].text, None, "web", 5), (base[1].doc_id, base[2].text + " more words", "en", None, 9), rows[3], rows[3], (9000, long, "en", "web", len(long)), (9001, "  \n ", None, "web", 3)]
+    names = ["score", "kept", "keep_id", "group_size", "text_sha256", "size", "target", "taken", "copies", "class_id", "text_hash"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *(f"own {n}" for n in names)) for r in rows], schema)
+    for n in (len(rows), 0):
+        df = docs.limit(n)
+        for k, (_, stage) in enumerate(cp.STAGES):
+            out = stage(spark, df, str(tmp_path))
+            got = out.collect()
+            if k == len(cp.STAGES) - 1:
+                break
+            assert out.columns == docs.columns
+            assert all(r[c] == f"own {c}" for r in got for c in names)
+            assert n == 0 or 0 < len(got)
+            df = spark.createDataFrame(got, docs.schema)
+        assert n or not got
+        assert Counter(r.doc_id for r in got)[9000] <= 2
