@@ -22,8 +22,8 @@ is enough, since kept suffixes of a passage are at most WINDOW words apart.
 
 Defined results.  Words are runs without white space.  Null, empty and short texts have
 no repeats.  Very long texts are read whole.  A passage that repeats inside one document
-counts as well.  Rows that repeat an id are rows of one document and share its spans.
-Rows with a null id take no part.  An empty table gives an empty table.  Extra columns
+counts as well.  Rows that repeat an id have the spans of their own texts, listed under
+that id once for each text.  Rows with a null id take no part.  An empty table gives an empty table.  Extra columns
 are ignored.
 """
 
@@ -43,6 +43,8 @@ from .probminhash import _STEP, U, mixed, word_hashes
 MIN_WORDS = 50
 GRAM, WINDOW = 20, 31
 LEFT, RIGHT = WINDOW - 1, WINDOW
+#: Suffixes of a sorted partition.
+SORTED_ROWS = 100_000
 
 
 def word_codes(text: str) -> np.ndarray:
@@ -78,6 +80,15 @@ def anchors(grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(sliding(np.concatenate([pad, low, pad]), WINDOW, np.maximum) == grams)
 
 
+def grams_at(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """`gram_hashes` at some positions only."""
+    total, power = np.zeros(len(places), np.uint64), 1
+    for j in range(GRAM):
+        total += mixed(codes[places + j]) * U(power)
+        power = power * 0x9E3779B97F4A7C15 % 2**64
+    return mixed(total)
+
+
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
@@ -93,26 +104,36 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     gram.append(grams[own])
             at += len(slab)
             if row:
-                ids = batch.column(0).take(pa.array(np.concatenate(row)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(gram).view(np.int64))], names=["doc_id", "place", "gram"])
+                at_rows = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at_rows), batch.column(2).take(at_rows), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(gram).view(np.int64))], names=["doc_id", "text_hash", "place", "gram"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words after and before each kept suffix's gram, as strings of 32-bit word codes."""
+
+    def cut(keys: list, out: list[list]) -> pa.RecordBatch:
+        ids, hashes = zip(*keys) if keys else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), *(pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary())))], names=["doc_id", "text_hash", "place", "gram", "right", "left"])
+
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        keys, out = [], [[], [], [], []]
         for i in range(batch.num_rows):
-            codes = (word_codes(batch.column(1)[i].as_py() or "") >> U(32)).astype(">u4")
-            for place, gram in sorted((s["place"], s["gram"]) for s in batch.column(2)[i].as_py()):
-                if place + GRAM <= len(codes):
+            codes = word_codes(batch.column(2)[i].as_py() or "")
+            told = sorted((s["place"], s["gram"]) for s in batch.column(3)[i].as_py() if s["place"] + GRAM <= len(codes))
+            stands = grams_at(codes, np.array([p for p, _ in told], np.int64)).view(np.int64).tolist()
+            short = (codes >> U(32)).astype(">u4")
+            key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+            for (place, gram), there in zip(told, stands):
+                if gram == there:  # else a text whose hash is another's
+                    keys.append(key)
                     out[0].append(place)
                     out[1].append(gram)
-                    out[2].append(codes[place + GRAM : place + GRAM + RIGHT].tobytes())
-                    out[3].append(codes[max(0, place - LEFT) : place][::-1].tobytes())
-            if len(out[0]) >= 20_000 or i == batch.num_rows - 1 or batch.column(0)[i] != batch.column(0)[i + 1]:
-                ids = pa.array([batch.column(0)[i].as_py()] * len(out[0]), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["doc_id", "place", "gram", "right", "left"])
-                out = [[], [], [], []]
+                    out[2].append(short[place + GRAM : place + GRAM + RIGHT].tobytes())
+                    out[3].append(short[max(0, place - LEFT) : place][::-1].tobytes())
+            if len(keys) >= 20_000:
+                yield cut(keys, out)
+                keys, out = [], [[], [], [], []]
+        yield cut(keys, out)
 
 
 def shared_prefix(column: list[bytes], width: int) -> np.ndarray:
@@ -177,7 +198,7 @@ def windows(gram: np.ndarray, right: list[bytes], left: list[bytes], first: int,
     return at[rows], o, window_keys(gram[at], [right[i] for i in at], [left[i] for i in at])[rows, o]
 
 
-_COLUMNS = ("doc_id", "place", "gram", "right", "left")
+_COLUMNS = ("doc_id", "text_hash", "place", "gram", "right", "left")
 
 
 def _comparer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,14 +209,15 @@ def _comparer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    names = ["doc_id", "lo", "hi", "part", "place", "gram", "right", "left"]
+    names = ["doc_id", "text_hash", "lo", "hi", "part", "place", "gram", "right", "left"]
     first = last = None
 
     def counted(rows: pa.Table, lo: int, hi: int) -> pa.RecordBatch:
         at, o, keys = windows(rows.column("gram").to_numpy(), rows.column("right").to_pylist(), rows.column("left").to_pylist(), lo, hi)
         none = pa.nulls(len(at))
         start = (rows.column("place").to_numpy()[at] - o).astype(np.int32)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at)).combine_chunks(), pa.array(start), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int32()), pa.array(keys), none.cast(pa.binary()), none.cast(pa.binary())], names=names)
+        own = [rows.column(c).take(pa.array(at)).combine_chunks() for c in _COLUMNS[:2]]
+        return pa.RecordBatch.from_arrays([*own, pa.array(start), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int32()), pa.array(keys), none.cast(pa.binary()), none.cast(pa.binary())], names=names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -210,48 +232,49 @@ def _comparer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.flatnonzero(ahead)
         place = rows.column("place").to_numpy()[hit]
         none = pa.nulls(len(hit))
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(hit)).combine_chunks(), pa.array((place - back[hit]).astype(np.int32)), pa.array((place + ahead[hit]).astype(np.int32)), *(none.cast(t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+        own = [rows.column(c).take(pa.array(hit)).combine_chunks() for c in _COLUMNS[:2]]
+        yield pa.RecordBatch.from_arrays([*own, pa.array((place - back[hit]).astype(np.int32)), pa.array((place + ahead[hit]).astype(np.int32)), *(none.cast(t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
         yield counted(rows, max(0, seen - 1), rows.num_rows - 1)
     if last is not None:
         yield counted(last, last.num_rows - 1, last.num_rows)
-        last = last.slice(last.num_rows - 1)
-    if first is not None:
-        ends = pa.concat_tables([first, last])
-        none = pa.nulls(2).cast(pa.int32())
-        yield pa.RecordBatch.from_arrays([ends.column("doc_id").combine_chunks(), none, none, pa.array([part, part], pa.int32()), *(ends.column(c).combine_chunks() for c in _COLUMNS[1:])], names=names)
+        ends = first if last.num_rows < 2 else pa.concat_tables([first, last.slice(last.num_rows - 1)])  # a row alone is one end, not two
+        none = pa.nulls(ends.num_rows).cast(pa.int32())
+        yield pa.RecordBatch.from_arrays([*(ends.column(c).combine_chunks() for c in _COLUMNS[:2]), none, none, pa.array([part] * ends.num_rows, pa.int32()), *(ends.column(c).combine_chunks() for c in _COLUMNS[2:])], names=names)
 
 
 def suffixes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Kept suffixes whose gram occurs again: doc_id, place, gram, contexts."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
-    kept = stored(base.mapInArrow(tidy(_finder), "doc_id long, place int, gram long"), "suffix-anchors")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    kept = stored(base.mapInArrow(tidy(_finder), "doc_id long, text_hash long, place int, gram long"), "suffix-anchors")
     again = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    places = attach(kept, again, "gram", "n", kept.count()).groupBy("doc_id").agg(F.collect_set(F.struct("place", "gram")).alias("places"))
+    places = attach(kept, again, "gram", "n", kept.count()).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "gram")).alias("places"))
     places = stored(places, "suffix-places")
     near = likely(base, F.col("doc_id"), places.select("doc_id"), places.count())
-    around = near.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(tidy(_contexts), "doc_id long, place int, gram long, right binary, left binary")
+    around = near.join(places, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places").mapInArrow(tidy(_contexts), "doc_id long, text_hash long, place int, gram long, right binary, left binary")
     return stored(around, "suffix-contexts")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans of words that occur elsewhere: doc_id, start_word, end_word, n_words."""
     ship(docs.sparkSession)
-    order = ["gram", "right", "doc_id", "place"]
-    sorted_ = suffixes(docs, id_col, text).repartitionByRange(*order).sortWithinPartitions(*order).select(*_COLUMNS)
-    found = stored(sorted_.mapInArrow(tidy(_comparer), "doc_id long, lo int, hi int, part int, place int, gram long, right binary, left binary"), "suffix-matches")
+    order = ["gram", "right", "doc_id", "place", "text_hash"]
+    context = suffixes(docs, id_col, text)
+    parts = max(1, -(-context.count() // SORTED_ROWS))
+    sorted_ = context.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*_COLUMNS)
+    found = stored(sorted_.mapInArrow(tidy(_comparer), "doc_id long, text_hash long, lo int, hi int, part int, place int, gram long, right binary, left binary"), "suffix-matches")
     ends = found.filter("part is not null").select("part", *_COLUMNS).collect()  # two rows a partition
-    ends.sort(key=lambda r: (r.part, r.gram, bytes(r.right), r.doc_id, r.place))
+    ends.sort(key=lambda r: (r.part, r.gram, bytes(r.right), r.doc_id, r.place, r.text_hash))
     back, ahead = extents(np.array([r.gram for r in ends], np.int64), [bytes(r.right) for r in ends], [bytes(r.left) for r in ends])
-    more = [(r.doc_id, int(r.place - b), int(r.place + a)) for r, b, a in zip(ends, back, ahead) if a]
-    ranges = found.filter("part is null and hi is not null").select("doc_id", "lo", "hi")
-    counted = found.filter("part is null and hi is null").select("doc_id", "lo", F.col("gram").alias("key"))
+    more = [(r.doc_id, r.text_hash, int(r.place - b), int(r.place + a)) for r, b, a in zip(ends, back, ahead) if a]
+    ranges = found.filter("part is null and hi is not null").select("doc_id", "text_hash", "lo", "hi")
+    counted = found.filter("part is null and hi is null").select("doc_id", "text_hash", "lo", F.col("gram").alias("key"))
     again = counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     total = counted.count()
     if total:
-        ranges = ranges.unionByName(attach(counted, stored(again, "suffix-windows"), "key", "n", total).select("doc_id", "lo", (F.col("lo") + MIN_WORDS).alias("hi")))
+        ranges = ranges.unionByName(attach(counted, stored(again, "suffix-windows"), "key", "n", total).select("doc_id", "text_hash", "lo", (F.col("lo") + MIN_WORDS).alias("hi")))
     if more:
-        ranges = ranges.unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, lo int, hi int"))
-    earlier = Window.partitionBy("doc_id").orderBy("lo", "hi")
+        ranges = ranges.unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, text_hash long, lo int, hi int"))
+    earlier = Window.partitionBy("doc_id", "text_hash").orderBy("lo", "hi")
     reach = F.max("hi").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
     island = ranges.withColumn("new", F.coalesce((F.col("lo") > reach).cast("int"), F.lit(1))).withColumn("span", F.sum("new").over(earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return island.groupBy("doc_id", "span").agg(F.min("lo").alias("start_word"), F.max("hi").alias("end_word")).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+    return island.groupBy("doc_id", "text_hash", "span").agg(F.min("lo").alias("start_word"), F.max("hi").alias("end_word")).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))

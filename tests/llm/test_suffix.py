@@ -77,3 +77,38 @@ def test_passages_that_end_in_a_common_line(spark):
     for r in sd.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string")).collect():
         got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
     assert got == brute(texts) and len(got) == 240
+
+
+def test_suffixes_alone_in_their_partitions(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    fresh = lambda n: [word() for _ in range(n)]
+    common = fresh(20)  # too short to count, but its grams occur twice
+    texts = [(i, " ".join(fresh(60) + common + fresh(60))) for i in range(2)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert sd.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string")).count() == 0
+        held_rows, sd.SORTED_ROWS = sd.SORTED_ROWS, 1  # one suffix in each partition
+        try:
+            assert sd.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string")).count() == 0
+            got = {}
+            for r in sd.repeated_spans(spark.createDataFrame(corpus()[:60], "doc_id long, text string")).collect():
+                got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+            assert got == brute(corpus()[:60])
+        finally:
+            sd.SORTED_ROWS = held_rows
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_rows_that_repeat_an_id(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    fresh = lambda n: [word() for _ in range(n)]
+    passage = fresh(60)
+    rows = [(7, " ".join(fresh(30) + passage)), (7, " ".join(fresh(200))), (7, " ".join(fresh(10) + passage)), (8, " ".join(fresh(90)))]
+    got = sorted(tuple(r) for r in sd.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(7, 10, 70, 60), (7, 30, 90, 60)]
