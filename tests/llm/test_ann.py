@@ -54,3 +54,20 @@ def test_odd_rows(spark):
     got = [tuple(r) for r in ann.every_twentieth(df).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 3.0), (0, 2, 1, 3.0), (0, 3, 20, 3.0), (20, 1, 0, 3.0), (20, 2, 1, 2.5), (20, 3, 1, 2.5)]
     assert ann.every_twentieth(df.limit(0)).count() == 0
+
+
+def test_recall_whatever_the_lengths(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 48))
+    spread = np.exp(rng.normal(size=(3000, 1)))
+    for vectors in (x / np.sqrt((x * x).sum(1, keepdims=True)), x * spread, x + 3, x * spread + 1):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.every_twentieth(df).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q, found in got.items():
+            score = vectors @ vectors[q]
+            score[q] = -np.inf
+            hits += len(found & set(np.argsort(-score)[:20].tolist()))
+        assert len(got) == 150 and hits / (20 * 150) >= 0.95
