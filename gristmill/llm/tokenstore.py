@@ -2,7 +2,9 @@
 
 Documents are dealt in ranges of doc_id; each range is encoded, cut into shards and
 compressed: the most frequent pairs of neighbouring ids are replaced by nonterminals,
-again and again, each shard on its own.  A shard holds its rules, the expansion length
+again and again until no pair is left that repays its rule, each shard on its own.  The
+PAIRS most frequent pairs of a round are replaced together; where two of them overlap the
+more frequent one wins, and the other waits for the next round.  A shard holds its rules, the expansion length
 of every symbol that starts a document, and the compressed symbols, so one document
 decodes without the others.
 
@@ -16,8 +18,9 @@ Shards are rows (shard key, bytes) of a table in the shared folder, so any store
 Spark writes can hold them.
 
 Defined results.  Null and empty texts: the end id alone.  Very long texts: whole, in
-one shard.  Repeated rows: each is stored, ties of doc_id in any order among equal
-rows.  Null ids come first.  An empty table gives an empty table.  Extra columns are
+one shard.  Repeated rows: each is stored; rows that repeat an id are in the order of
+their texts' hashes, and dealt apart.  Strings of the file's special tokens are ordinary
+text.  Null ids come first.  An empty table gives an empty table.  Extra columns are
 ignored, whatever their names.
 """
 
@@ -39,8 +42,10 @@ from .common import ship, stored, tidy
 CACHE_ENTRIES = 500_000
 #: Ids of one shard, at least one document.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement, pairs replaced in a round, and the least count of a pair.
-ROUNDS, PAIRS, LEAST = 8, 512, 32
+#: Pairs replaced in a round, and the least count of a pair that repays its rule.
+PAIRS, LEAST = 1024, 16
+#: Rows of a task's range of doc_id.
+RANGE_ROWS = 5_000
 MAGIC = b"RPR1"
 
 
@@ -75,15 +80,17 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int) -> tuple[np.n
     head = head[: len(x)]
     rules: list[np.ndarray] = []
     made = first_rule
-    for _ in range(ROUNDS):
-        if len(x) < 2:
-            break
+    while len(x) > 1:
         pairs, (at, which) = frequent_pairs(x[:-1], x[1:], ~head[1:])
         if not len(pairs):
             break
-        fresh = np.concatenate([[True], np.diff(at) != 1])  # of overlapping places every other one is replaced
+        fresh = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(which) != 0)])
         since = np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        at, which = at[since % 2 == 0], which[since % 2 == 0]
+        turn = 2 * which.astype(np.int64) + since % 2  # of a pair that overlaps itself every other place
+        later = (np.diff(at) == 1) & (turn[1:] > turn[:-1])
+        sooner = (np.diff(at) == 1) & (turn[1:] < turn[:-1])
+        first = ~(np.append(False, later) | np.append(sooner, False))
+        at, which = at[first], which[first]
         x[at] = (made + which).astype(np.uint32)
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
@@ -162,24 +169,25 @@ def _writer(path: str, pattern: str, end_id: int):
         first_rule = len(c.lengths) + 1
         end = np.array([end_id], np.uint32)
         docs: list[int | None] = []
+        hashes: list[int] = []
         arrays: list[np.ndarray] = []
         size = part = 0
 
         def shard() -> pa.RecordBatch:
-            key = docs[0]
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([part], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(docs, arrays, first_rule)], pa.binary())], names=["first_id", "part", "n_ids", "shard"])
+            return pa.RecordBatch.from_arrays([pa.array([docs[0]], pa.int64()), pa.array([hashes[0]], pa.int64()), pa.array([part], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(docs, arrays, first_rule)], pa.binary())], names=["first_id", "first_hash", "part", "n_ids", "shard"])
 
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
+            ids, own, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
             for slab in slabs(batch.column(1)):
                 for a in c.encode(slab):
                     docs.append(ids[at])
+                    hashes.append(own[at])
                     arrays.append(np.concatenate([a, end]).astype(np.uint32))
                     size += len(a) + 1
                     at += 1
                     if size >= SHARD_IDS:
                         yield shard()
-                        docs, arrays, size, part = [], [], 0, part + 1
+                        docs, hashes, arrays, size, part = [], [], [], 0, part + 1
         if docs:
             yield shard()
         c.trim()
@@ -190,22 +198,21 @@ def _writer(path: str, pattern: str, end_id: int):
 def write_shards(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> DataFrame:
     """Encode, compress and write `docs` in ascending doc_id order; returns the shard table.
 
-    Ranges of doc_id hold whole runs of equal ids, so (first_id, part) orders shards.
+    Ranges hold whole runs of equal rows, so (first_id, first_hash, part) orders shards.
     """
     ship(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    return stored(dealt.mapInArrow(_writer(path, pattern, end_id), "first_id long, part long, n_ids long, shard binary"), "token-shards")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    order = (F.asc_nulls_first("doc_id"), F.asc("text_hash"))
+    dealt = own.repartitionByRange(max(1, -(-docs.count() // RANGE_ROWS)), *order).sortWithinPartitions(*order)
+    return stored(dealt.mapInArrow(_writer(path, pattern, end_id), "first_id long, first_hash long, part long, n_ids long, shard binary"), "token-shards")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
             s = Shard(blob.as_buffer().to_pybytes())
-            ids = s.all_ids().astype("<u4")
-            ends = np.cumsum(s.sizes, dtype=np.int64)
-            starts = ends - s.sizes
-            view = memoryview(ids.tobytes())
-            crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+            starts = np.cumsum(s.sizes, dtype=np.int64) - s.sizes
+            crc = [zlib.crc32(s.document(i).astype("<u4").tobytes()) for i in range(len(s.sizes))]
             yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(starts + start), pa.array(s.sizes.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(np.diff(np.append(s.heads, len(s.symbols)).astype(np.int64)))], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_symbols"])
 
 
@@ -215,7 +222,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     The running sum of shard sizes is over one row per shard (a million ids).
     """
     ship(shards.sparkSession)
-    order = Window.orderBy(F.asc_nulls_first("first_id"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    before = shards.select("first_id", "part", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
-    same = shards["first_id"].eqNullSafe(before["first_id"]) & (shards["part"] == before["part"])
+    order = Window.orderBy(F.asc_nulls_first("first_id"), "first_hash", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = shards.select("first_id", "first_hash", "part", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
+    same = shards["first_id"].eqNullSafe(before["first_id"]) & (shards["first_hash"] == before["first_hash"]) & (shards["part"] == before["part"])
     return shards.join(before, same).select("start", "shard").mapInArrow(tidy(_reader), "doc_id long, start long, n_tokens long, ids_crc32 long, n_symbols long")
