@@ -1,10 +1,11 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
 Base spans (email, ip, card, phone) follow fixed rules and always stay.  The method adds
-spans of kinds that no fixed rule settles: account numbers, social numbers and phone
-numbers without an international prefix.  For each candidate, labelers vote yes, no or
-abstain: a strict regex, a gazetteer of contact words before the span, the context
-around it, a checksum, and a shape test.  Expectation-maximisation estimates every
+spans of kinds that no fixed rule settles: account numbers, social numbers, phone numbers
+without an international prefix, passwords and keys, names of persons and addresses.  For
+each candidate, labelers vote yes, no or abstain: a strict regex, a gazetteer of contact
+words before the span, the context around it, a checksum (or what stands for one: the
+variety of a key's characters, a known first name), and a shape test.  Expectation-maximisation estimates every
 labeler's reliability from the agreement of votes alone, and its posteriors train a
 logistic span classifier over surface features, whose decision is final.
 
@@ -45,19 +46,40 @@ CANDIDATES = (
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("local_phone", re.compile(r"(?<![+0-9A-Za-z.])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ /.-]{1,2}[0-9]{3,4}[ -][0-9]{3,4}(?![0-9A-Za-z])")),
     ("ssn", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])")),
+    ("secret", re.compile(r"(?:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?([^\s\"',;<>]{6,128})", re.I)),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA|ghp_|gho_|glpat-|xox[abp]-|sk-)[A-Za-z0-9_-]{12,80})")),
+    ("address", re.compile(r"(?<![0-9A-Za-z])([0-9]{1,5} (?:[A-Z][A-Za-z.'-]{0,20} ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Ct|Way|Place|Square|Terrace))(?![A-Za-z])")),
+    ("address", re.compile(r"(?<![0-9A-Za-zÄÖÜäöüß])([A-ZÄÖÜ][a-zäöüß]{1,24}(?:straße|strasse|weg|platz|allee|gasse) [0-9]{1,4}[a-z]?)(?![0-9A-Za-z])")),
+    ("name", re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora)\.? ([A-ZÀ-Þ][a-zß-ÿ'-]{1,24}(?: [A-ZÀ-Þ][a-zß-ÿ'-]{1,24}){0,2})")),
+    ("name", re.compile(r"(?i:name|contact|regards|sincerely|signed|author|patient|customer|mr|mrs)[:,]?[ \t\n]{1,3}([A-ZÀ-Þ][a-zß-ÿ'-]{1,24} [A-ZÀ-Þ][a-zß-ÿ'-]{1,24})(?![A-Za-zß-ÿ])")),
 )
+KINDS = tuple(dict.fromkeys(k for k, _ in CANDIDATES))
+#: A text without any of these holds no candidate that needs no digit.
+CUES = re.compile(r"[=:]|[A-Z][a-z]{1,8}\.? [A-ZÀ-Þ]|[,\n]")
 STRICT = {
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4})+(?: [A-Z0-9]{1,3})?|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"),
     "local_phone": re.compile(r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"),
     "ssn": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
+    "secret": re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/=_.!@#$%^&*-]{8,}"),
+    "address": re.compile(r"[1-9][0-9]{0,4} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Way|Place|Square|Terrace)|[A-ZÄÖÜ][a-zäöüß]+ [1-9][0-9]{0,3}[a-z]?"),
+    "name": re.compile(r"[A-ZÀ-Þ][a-zß-ÿ]{2,}(?: [A-ZÀ-Þ][a-zß-ÿ'-]{2,})+"),
 }
 GAZETTEER = {
     "iban": frozenset("account iban bank konto kontonummer compte cuenta".split()),
     "local_phone": frozenset("phone tel telephone telefon call mobile fax handy telefono teléfono téléphone portable".split()),
     "ssn": frozenset("ssn social security insurance".split()),
+    "secret": frozenset("password passwd pwd passphrase secret token key apikey credentials login bearer".split()),
+    "address": frozenset("address lives living home residence street ship deliver mail adresse anschrift wohnt domicilio".split()),
+    "name": frozenset("mr mrs ms miss dr prof herr frau monsieur madame mme señor señora name contact regards sincerely signed patient customer".split()),
 }
+#: First names that are common in several countries.
+FIRST_NAMES = frozenset(
+    "Aisha Alexander Alice Ana Andrea Andrew Anna Anne Antonio Barbara Carlos Carmen Charles Christian Claire Daniel David Diana Elena Elizabeth Emily Emma Eric Fatima Francisco Frank George Hannah Hans Helen Ivan Jack James Jan Jane Jean Jennifer John Jorge José Joseph Juan Julia Karen Karl Laura Linda Lisa Louis Lucas Luis Luisa Marco Margaret Maria María Marie Mark Martin Mary Michael Miguel Mohamed Monica Nicole Olivia Pablo Patricia Paul Pedro Peter Petra Philip Pierre Rachel Richard Robert Rosa Sarah Simon Sofia Sophie Stefan Susan Thomas Victoria William Wolfgang".split()
+)
+#: What stands in samples where a secret would stand.
+PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|your.*|example.*|changeme|password\d{0,3}|none|null|true|false|required|\$?\{.*|%\w+%)$")
 AGAINST = frozenset("version page pages chapter section order invoice isbn part no number license lines rows error code".split())
-VOTES, MAX_PATTERNS = 5, 3 * 3**5 * 4 * 2 * 3
+VOTES, MAX_PATTERNS = 5, len(KINDS) * 3**5 * 4 * 2 * 3
 
 
 def luhn(digits: str) -> bool:
@@ -113,6 +135,13 @@ def votes_of(kind: str, text: str, start: int, end: int) -> str:
         checksum = "+" if mod97(span) else "-"
     elif kind == "ssn":
         checksum = "-" if span[:3] in ("000", "666") or span[0] == "9" else "0"
+    elif kind == "secret":
+        checksum = "-" if PLACEHOLDER.match(span) else "+" if len(set(span)) >= 7 and len(digits) * 8 >= len(span) else "0"
+    elif kind == "name":
+        checksum = "+" if span.split()[0] in FIRST_NAMES else "0"
+    if kind in ("secret", "address", "name"):
+        shape = "-" if len(set(span)) < 5 or (kind == "name" and after[:1] == "(") else "+"
+        return regex + gazetteer + context + checksum + shape
     shape = "-" if len(set(digits)) <= 2 or re.match(r"[0-9]", after.lstrip()) or re.search(r"[0-9]\s*$", before) else "+"
     return regex + gazetteer + context + checksum + shape
 
@@ -128,9 +157,9 @@ def features_of(kind: str, text: str, start: int, end: int) -> str:
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, str]]:
     """Candidate spans of added kinds, leftmost first, apart from base spans and one another."""
-    if not DIGIT.search(text):
-        return []
-    found = sorted((m.start(), -m.end(), kind) for kind, p in CANDIDATES for m in p.finditer(text))
+    digit, cue = DIGIT.search(text), CUES.search(text)
+    able = lambda kind: digit if kind not in ("secret", "name") else cue
+    found = sorted((m.start(m.lastindex or 0), -m.end(m.lastindex or 0), kind) for kind, p in CANDIDATES if able(kind) for m in p.finditer(text))
     used = sorted((a, b) for _, a, b in taken)
     out, free, k = [], 0, 0
     for start, end, kind in found:
@@ -196,7 +225,7 @@ def reliabilities(patterns: list[tuple[str, str, int]], rounds: int = 50) -> tup
 
 def design(kind: str, votes: str, features: str) -> list[float]:
     size, marks, before = (int(c) for c in features)
-    return [1.0, *(float(kind == k) for k, _ in CANDIDATES), *(float(v == "+") - float(v == "-") for v in votes), float(size), float(marks), float(before == 2), float(before == 1)]
+    return [1.0, *(float(kind == k) for k in KINDS), *(float(v == "+") - float(v == "-") for v in votes), float(size), float(marks), float(before == 2), float(before == 1)]
 
 
 def train(patterns: list[tuple[str, str, str, int]]) -> dict[tuple[str, str, str], bool]:
@@ -220,7 +249,7 @@ def train(patterns: list[tuple[str, str, str, int]]) -> dict[tuple[str, str, str
 
 
 def _judge(keep: dict[tuple[str, str, str], bool]) -> Callable:
-    order = {k: i for i, k in enumerate((*BASE, *sorted(k for k, _ in CANDIDATES)))}
+    order = {k: i for i, k in enumerate((*BASE, *sorted(KINDS)))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -92,3 +92,42 @@ def test_em_finds_the_unreliable_labeler():
     assert abs(prior["ssn"] - 0.4) < 0.05
     hits = sum((post["ssn", v] > 0.5) == y for v, ys in truth.items() for y in ys)
     assert hits / 20000 > 0.9
+
+
+def test_planted_data_is_found(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    capital = lambda: word().capitalize() + "es"
+
+    def iban():
+        body = "WEST" + digits(14)
+        n = int("".join(str(int(c, 36)) for c in body + "GB00"))
+        return f"GB{98 - n % 97:02d}{body}"
+
+    make = {
+        "secret": lambda: rng.choice(["password=%s", "api_key: %s", "token = '%s'", "secret: %s"]) % hexed(20),
+        "name": lambda: rng.choice(["Mr. %s", "Dr. %s", "contact: %s", "Frau %s"]) % f"{rng.choice(sorted(pii.FIRST_NAMES))} {capital()}",
+        "address": lambda: "lives at " + rng.choice(["12 %s Street", "8 %s Avenue", "221 %s Road", "5 Old %s Lane"]) % capital(),
+        "ssn": lambda: f"ssn: {rng.randint(100, 600)}-{rng.randint(10, 99)}-{digits(4)}",
+        "iban": lambda: "iban " + iban(),
+        "local_phone": lambda: f"call ({digits(3)}) {digits(3)}-{digits(4)}",
+    }
+    rows, planted = [], {}
+    for i in range(1200):
+        words = [word() for _ in range(40)]
+        if i % 2:
+            kind = list(make)[i // 2 % len(make)]
+            planted[i] = kind
+            words.insert(rng.randrange(40), make[kind]())
+        elif i % 4 == 0:  # what only looks like it
+            words.insert(20, rng.choice(["page 12-34", "password: required", "version 100 20 3000", "The Old Street", "token: xxxxxxxx", "part number 123 45 678"]))
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in make:
+        own = [i for i, k in planted.items() if k == kind]
+        assert sum(kind in got[i] for i in own) / len(own) >= 0.9, kind
+    assert sum(not got[i] for i, _ in rows if i not in planted) / 600 >= 0.97
