@@ -86,3 +86,21 @@ def test_mix_overlapping_sources(spark):
     data = [(i, "w " * 10, ["a"] if i % 3 == 0 else ["b", "a"] if i % 3 == 1 else ["b"]) for i in range(90)] + [(99, "w", None), (98, "w", [])]
     got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source array<string>"), weights={"a": 2, "b": 1, None: 0}, share=1.0).collect()
     assert len(got) == 92 and sum(r.taken for r in got) == pytest.approx(900, abs=12)
+
+
+def test_many_patterns_give_the_same_mix(spark, monkeypatch):
+    data = [(i, "w " * (1 + i * 37 % 90), "x", f"s{i % 23}" if i % 3 else "hot") for i in range(700)] + [(1000, None, "x", None), (None, "a b", "y", None)]
+    df = spark.createDataFrame(data, SCHEMA)
+    lists = spark.createDataFrame([(i, "w " * 10, ["a"] if i % 3 == 0 else ["b", "a"] if i % 3 == 1 else ["b"]) for i in range(90)] + [(200 + i, "w v", [f"z{i % 9}"]) for i in range(60)] + [(99, "w", None)], "doc_id long, text string, source array<string>")
+    want, tied = Counter(map(tuple, mixing.mix(df).collect())), {r.doc_id: r.taken for r in mixing.mix(lists).collect()}
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 5)
+    got = mixing.mix(df)
+    assert set(got.columns) == set(mixing.mix(df.limit(0)).columns)
+    cols = mixing.mix(df.limit(3)).columns
+    at = cols.index("target")
+    cut = lambda rows: Counter((*r[:at], round(r[at], 6), *r[at + 1 :]) for r in rows)
+    assert cut(map(tuple, got.select(cols).collect())) == cut(want.elements())
+    assert {r.doc_id: r.taken for r in mixing.mix(lists).collect()} == tied
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
+    with pytest.raises(ValueError):
+        mixing.mix(lists).collect()
