@@ -327,10 +327,3 @@ def synth_answer(spark, t):
     m, v = C("p_size") + 1, C("p_partkey") % 9 + 1
     q = F.concat(F.lit("Find p for m = "), m.cast("string"), F.lit(" and v = "), v.cast("string"), F.lit("."))
     return t.part.crossJoin(F.broadcast(R.store(spark).filter("ord = 0").select("ord"))).select("p_partkey", "ord", q.alias("question"), (m * v).alias("answer"))  # one record
-
-
-@book.query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'v' ELSE 'm' END AS withheld, CASE WHEN p_partkey % 2 = 0 THEN 'm = ' || p_size ELSE 'v = ' || p_size END AS shown FROM part WHERE p_partkey % 10 < 3")
-def synth_withheld(spark, t):
-    """D1 documents: one free variable is withheld and never shown."""
-    even = C("p_partkey") % 2 == 0
-    return t.part.filter("p_partkey % 10 < 3").select("p_partkey", F.when(even, "v").otherwise("m").alias("withheld"), F.concat(F.when(even, "m = ").otherwise("v = "), C("p_size").cast("string")).alias("shown"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import expr, markup
-from ..operators import inference, synthesis
+from ..operators import synthesis
 from ..operators import relations as R
 from .book import Book
 
@@ -74,30 +73,3 @@ def generation_loop(spark, t):
         return n.map(one)
 
     return t.part.select("p_partkey", say("p_size").alias("said"))
-
-
-@book.query()
-def forward_pass(spark, t):
-    """One attention block over each vector in 8-bit groups: norm, product, rotation, mixing."""
-
-    @F.pandas_udf("double")
-    def block(v: pd.Series) -> pd.Series:
-        rng = np.random.default_rng(1)
-        w = inference.quantise(rng.normal(size=(32, 32)).astype(np.float32), 8)
-
-        def one(x):
-            h = inference.rmsnorm(np.asarray(x[:32], np.float32), np.ones(32, np.float32))
-            q = inference.matmul(w, inference.quantise(h, 8))
-            keys = np.stack([inference.rotate(q, p) for p in range(3)])
-            return float(inference.swiglu(inference.attend(inference.rotate(q, 2), keys, keys), h).sum())
-
-        return v.map(one)
-
-    return t.embeddings.select("vec_id", F.round(block("embedding"), 4).alias("out"))
-
-
-@book.query("SELECT l_orderkey, l_linenumber, CASE WHEN abs(round(l_quantity * 1.03) - l_quantity) <= 0.02 * l_quantity THEN 'stated' ELSE 'corrected to ' || CAST(l_quantity AS BIGINT) END AS verdict FROM lineitem")
-def answer_states_result(spark, t):
-    """Prose that misstates a result beyond two per cent is corrected."""
-    q = C("l_quantity")
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.abs(F.round(q * 1.03) - q) <= 0.02 * q, "stated").otherwise(F.concat(F.lit("corrected to "), q.cast("bigint").cast("string"))).alias("verdict"))

@@ -115,18 +115,6 @@ def lint_leibniz(spark, t):
     return R.store(spark).filter(C("formula").rlike("d\\*[A-Za-z]+/d\\*[A-Za-z]+")).select("ord")
 
 
-@book.query("""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents WHERE lang = 'en') GROUP BY 1),
-  stop AS (SELECT word FROM (SELECT *, row_number() OVER (ORDER BY n DESC, word) AS r FROM w) WHERE r <= 10), known AS (SELECT word FROM w WHERE n >= 30)
-  SELECT w.word AS fused, s.word AS stopword, k.word AS rest FROM w JOIN stop s ON starts_with(w.word, s.word) AND length(w.word) > length(s.word) JOIN known k ON k.word = substr(w.word, length(s.word) + 1) WHERE w.n = 1""")
-def lint_fused(spark, t):
-    """Rare words that are a stopword and a known word without the blank between them."""
-    w = t.documents.filter("lang = 'en'").select(F.explode(letters(C("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    stop = w.orderBy(F.desc("n"), "word").limit(10).select(C("word").alias("stopword"))  # ten rows
-    cut = w.filter("n = 1").join(F.broadcast(stop), F.expr("startswith(word, stopword) and length(word) > length(stopword)"))
-    cut = cut.select(C("word").alias("fused"), "stopword", F.expr("substr(word, length(stopword) + 1)").alias("rest"))
-    return cut.join(w.filter("n >= 30").select(C("word").alias("rest")), "rest", "left_semi").select("fused", "stopword", "rest")
-
-
 @book.query("SELECT p_partkey, CASE WHEN p_size <= 0 THEN 'size' WHEN p_retailprice < p_size THEN 'price_below_size' WHEN p_brand IS NULL THEN 'brand' ELSE 'ok' END AS reason FROM part")
 def lint_decl(spark, t):
     reason = F.when(C("p_size") <= 0, "size").when(C("p_retailprice") < C("p_size"), "price_below_size").when(C("p_brand").isNull(), "brand").otherwise("ok")

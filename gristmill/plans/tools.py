@@ -170,10 +170,7 @@ def stream_tumbling(spark, t):
     """The same day windows from a stream that runs over all files once (complete output)."""
     at = scratch(spark, "tumbling")
     _lay(spark, t, at)
-    name = "gristmill_" + uuid.uuid4().hex[:8]
-    w = E.tumbling(spark.readStream.schema(E.SCHEMA).parquet(f"{at}/in"))
-    w.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return E.finished(E.tumbling(spark.readStream.schema(E.SCHEMA).parquet(f"{at}/in")), at)
 
 
 @book.query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
@@ -189,6 +186,4 @@ def stream_dedup_watermark(spark, t):
 def stream_stateful_count(spark, t):
     at = scratch(spark, "stateful")
     _lay(spark, t, at)
-    name = "gristmill_" + uuid.uuid4().hex[:8]
-    E.counted(spark.readStream.schema(E.SCHEMA).parquet(f"{at}/in")).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).groupBy("user_id").agg(F.max("n").alias("n"))
+    return E.updates(E.counted(spark.readStream.schema(E.SCHEMA).parquet(f"{at}/in")), at).groupBy("user_id").agg(F.max("n").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -35,6 +35,31 @@ def drain(df: DataFrame, at: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out")
 
 
+def finished(df: DataFrame, at: str) -> DataFrame:
+    """Run an aggregation over all files that are there; the table of its last state."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out")
+
+
+def updates(df: DataFrame, at: str) -> DataFrame:
+    """Run an aggregation over all files that are there; every row that a batch updated, each batch once."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={epoch}")
+
+    df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out").select(*df.columns)
+
+
+def by_id(column: str) -> WindowSpec:
+    """Order of one narrow column over all rows, for positions that strides are taken at."""
+    return Window.orderBy(column)
+
+
 def append_feedback(df: DataFrame, at: str) -> None:
     """Append each micro-batch of votes once: a batch id is a folder of its own."""
 
