@@ -26,3 +26,14 @@ def grams(of: str, n: int) -> Column:
     size = F.size(of)
     places = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.array_join(F.slice(of, i, n), " "))
+
+
+def gram_keys(of: str, n: int) -> Column:
+    """Runs of `n` neighbouring words of the array column `of`, each as 128 bits of hash.
+
+    Two runs share a key with a chance of 2 ** -128 times the square of their number.
+    """
+    size = F.size(of)
+    places = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+    told = lambda i: [F.get(of, i + k) for k in range(n)]
+    return F.transform(places, lambda i: F.struct(F.xxhash64(*told(i)).alias("a"), F.xxhash64(F.lit(n), *told(i)).alias("b")))

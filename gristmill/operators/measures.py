@@ -14,7 +14,11 @@ def share_of(df: DataFrame, *by: str) -> DataFrame:
 
 def entropy(df: DataFrame, group: str, value: str) -> DataFrame:
     """Shannon entropy in bits of `value` within each group."""
-    counted = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    return entropy_of_counts(df.groupBy(group, value).agg(F.count(F.lit(1)).alias("c")), group)
+
+
+def entropy_of_counts(counted: DataFrame, group: str) -> DataFrame:
+    """The same from rows (group, a value's count `c`)."""
     # H = log2(N) - sum(c log2 c) / N, so one aggregation over the counts suffices
     out = counted.groupBy(group).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     return out.select(group, "n", F.round(F.log2("n") - F.col("s") / F.col("n"), 6).alias("entropy"))

@@ -19,18 +19,32 @@ def idf(words: DataFrame, rows: int) -> DataFrame:
     return df.select("word", "n", F.expr(f"cast(16 * length(bin({rows} div n)) div 2 as bigint)").alias("weight"))
 
 
+#: Question words up to this number (some 30 bytes each) are broadcast; beyond it they are shuffled.
+FEW_WORDS = 1_000_000
+
+
 def ranked(questions: DataFrame, docs: DataFrame, key: str, doc: str, weights: DataFrame, k: int) -> DataFrame:
     """Top `k` documents per question by summed weights; ties to the smaller id.
 
     Question words meet document words in one equi-join; questions are never crossed
-    with documents.  The rank filter runs before the shuffle as well (group limit).
+    with documents.  Few question words are broadcast, so document words, common ones
+    too, stay where they are; the rank filter runs before the shuffle (group limit).
     """
-    asked = questions.join(weights, "word")
-    score = asked.join(docs, "word").groupBy(key, doc).agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("matched"))
+    asked = few(questions)(questions.join(weights, "word"))
+    score = docs.join(asked, "word").groupBy(key, doc).agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("matched"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), doc)
     return score.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def few(words: DataFrame):
+    return F.broadcast if words.count() <= FEW_WORDS else lambda df: df
+
+
+def asked_only(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """Document words that some question has."""
+    return docs.join(few(questions)(questions.select("word").distinct()), "word", "left_semi")
+
+
 def term_score(text: Column, term: str, base: int) -> Column:
     """Null without the term; a whole word adds 300, a prefix 150, late places cost up to 200."""
     low = F.lower(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.words import grams, letters, words
+from ..functions.words import gram_keys, grams, letters, words
 from ..operators import measures as M
 from .book import Book
 
@@ -50,14 +50,14 @@ _GRAMS = f"""(SELECT source, unnest(list_transform(generate_series(1, len(w) - 3
 
 @book.query(f"SELECT count(*) AS total, count(DISTINCT gram) AS different, round(count(DISTINCT gram) / count(*), 6) AS ratio FROM {_GRAMS}")
 def distinct_4gram(spark, t):
-    # counted per gram first: one partially aggregated shuffle, no expansion for the distinct count
-    per = t.documents.select(words(F.col("text")).alias("w")).select(F.explode(grams("w", 4)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    # counted per gram first: one partially aggregated shuffle of hashes, no expansion for the distinct count
+    per = t.documents.select(words(F.col("text")).alias("w")).select(F.explode(gram_keys("w", 4)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
     return per.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("different")).withColumn("ratio", F.round(F.col("different") / F.col("total"), 6))
 
 
 @book.query(f"SELECT source, count(*) AS total, count(DISTINCT gram) AS different, round(count(DISTINCT gram) / count(*), 6) AS ratio FROM {_GRAMS} GROUP BY source")
 def distinct_4gram_by_source(spark, t):
-    per = t.documents.select("source", words(F.col("text")).alias("w")).select("source", F.explode(grams("w", 4)).alias("gram")).groupBy("source", "gram").agg(F.count(F.lit(1)).alias("c"))
+    per = t.documents.select("source", words(F.col("text")).alias("w")).select("source", F.explode(gram_keys("w", 4)).alias("gram")).groupBy("source", "gram").agg(F.count(F.lit(1)).alias("c"))
     return per.groupBy("source").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("different")).withColumn("ratio", F.round(F.col("different") / F.col("total"), 6))
 
 
@@ -65,8 +65,10 @@ def distinct_4gram_by_source(spark, t):
   SELECT source, CAST(sum(c) AS BIGINT) AS n, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS entropy FROM c GROUP BY source""")
 def phrase_entropy(spark, t):
     """Entropy of the words of each source, numbers masked."""
-    said = t.documents.select("source", F.explode(words(F.col("text"))).alias("w"))
-    return M.entropy(said.select("source", F.regexp_replace(F.lower("w"), "[0-9]+", "#").alias("phrase")), "source", "phrase")
+    said = t.documents.select("source", F.explode(words(F.col("text"))).alias("w")).groupBy("source", "w").agg(F.count(F.lit(1)).alias("n"))
+    # words are counted as they stand; only distinct ones are masked
+    masked = said.groupBy("source", F.regexp_replace(F.lower("w"), "[0-9]+", "#").alias("phrase")).agg(F.sum("n").alias("c"))
+    return M.entropy_of_counts(masked, "source")
 
 
 @book.query("""SELECT source, count(DISTINCT lang) AS used, (SELECT count(DISTINCT lang) FROM documents) AS declared,

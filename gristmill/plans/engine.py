@@ -25,8 +25,9 @@ _RANKED = f"""WITH {_D}, {_QW}, {_WT}, s AS (SELECT item_id, doc_id, CAST(sum(we
 
 
 def _ranked(t, k):
-    docs = Q.postings(t.documents, "doc_id")
-    return Q.ranked(Q.postings(t.benchmark, "item_id"), docs, "item_id", "doc_id", Q.idf(docs, t.documents.count()), k)
+    asked = Q.postings(t.benchmark, "item_id")
+    docs = Q.asked_only(Q.postings(t.documents, "doc_id"), asked)
+    return Q.ranked(asked, docs, "item_id", "doc_id", Q.idf(docs, t.documents.count()), k)
 
 
 @book.query(f"{_RANKED} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 3")

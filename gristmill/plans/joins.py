@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.words import letters, words
 from ..operators import measures as M
 from ..operators import relations as R
+from ..operators import retrieval as Q
 from .book import Book
 
 book = Book()
@@ -136,7 +137,7 @@ def retrieval_cross(spark, t):
     docs = t.documents.select("doc_id", F.explode(F.array_distinct(letters(F.col("text")))).alias("word"))
     rare = docs.groupBy("word").agg(F.count("*").alias("n"))
     asked = t.benchmark.select("item_id", F.explode(F.array_distinct(letters(F.col("text")))).alias("word"))
-    hits = asked.join(rare, "word").join(docs, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    hits = Q.asked_only(docs, asked).join(Q.few(asked)(asked.join(rare, "word")), "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))
     return hits.withColumn("rank", rank).filter("rank <= 3").select("item_id", "doc_id", "hits", "rank")
 
@@ -309,12 +310,24 @@ def retry_draw(spark, t):
     return t.part.select("p_partkey", "p_size", F.get(F.filter(draws, lambda x: x > F.col("p_size")), F.lit(0)).alias("drawn"))
 
 
+#: Values that people write down, fixed values of this repository.
+POOL = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 7.5, 8.0, 10.0, 12.0, 15.0, 20.0, 25.0, 30.0, 40.0, 50.0, 60.0, 75.0, 90.0)
+
+
 @book.query()
 def sample_in_range(spark, t):
-    """Log-uniform between 1 and the retail price, to three significant figures."""
-    v = F.exp(_uniform("p_partkey", F.lit(3)) * F.ln("p_retailprice"))
+    """A value between 1 and a part's bound, negative for every thirteenth part.
+
+    Where five values of the pool lie in the range, one of them; else log-uniform, to
+    three significant figures.
+    """
+    top = F.when(F.col("p_partkey") % 2 == 0, F.lit(3.5)).otherwise(F.col("p_retailprice"))
+    near = F.filter(F.array(*map(F.lit, POOL)), lambda x: (x >= 1) & (x <= top))
+    v = F.exp(_uniform("p_partkey", F.lit(3)) * F.ln(top))
     scale = F.pow(F.lit(10.0), 2 - F.floor(F.log10(v)))
-    return t.part.select("p_partkey", (F.floor(v * scale + 0.5) / scale).alias("value"))
+    pick = F.get(near, F.floor(_uniform("p_partkey", F.lit(4)) * F.size(near)).cast("int"))
+    value = F.when(F.size(near) >= 5, pick).otherwise(F.floor(v * scale + 0.5) / scale)
+    return t.part.select("p_partkey", top.alias("top"), (value * F.when(F.col("p_partkey") % 13 == 0, -1).otherwise(1)).alias("value"))
 
 
 @book.query("""SELECT p_partkey, unnest(generate_series(1, CASE ('0x' || substr(sha256('dose:' || p_partkey), 1, 8))::BIGINT % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END)) AS copy FROM part""")
@@ -385,21 +398,43 @@ def decontam_exact(spark, t):
 def decontam_contains(spark, t):
     """Documents that hold no benchmark passage verbatim.
 
-    Passages meet documents through their first five words, then the whole passage is
-    compared; a passage of fewer words is compared with every document, as a broadcast
-    of bounded size (the benchmark is checked to be under a million rows).
+    Passages meet documents through the hash of their second to sixth word, then whole
+    passages are compared.  Passages of fewer than seven words are broadcast up to
+    SHORT of them; beyond that they meet documents through their first characters.
     """
-    w = lambda c: words(F.col(c))
-    bench = t.benchmark.select(F.col("text").alias("passage"), w("text").alias("w"))
-    head = F.array_join(F.slice("w", 2, 5), " ")
-    long = bench.filter(F.size("w") >= 7).select("passage", head.alias("gram"))
+    head = lambda k: F.xxhash64(*(F.get("w", F.lit(k) + i) for i in range(5)))
+    bench = t.benchmark.select(F.col("text").alias("passage"), words(F.col("text")).alias("w")).distinct()
+    long = bench.filter(F.size("w") >= 7).select("passage", head(1).alias("gram"))
     short = bench.filter(F.size("w") < 7).select("passage")
-    docs = t.documents.select("doc_id", "text", w("text").alias("w"))
+    docs = t.documents.select("doc_id", "text")
     # inner words of a passage are whole words of the document too; white space may differ
-    grams = docs.filter(F.size("w") >= 5).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("gram"))
-    hit = grams.select("doc_id", "gram").join(long, "gram").select("doc_id", "passage").distinct().join(t.documents.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("passage"))).select("doc_id")
-    if short.limit(1).count():
-        if t.benchmark.count() > 1_000_000:
-            raise ValueError("too many benchmark passages for a broadcast")
-        hit = hit.union(t.documents.join(F.broadcast(short), F.col("text").contains(F.col("passage"))).select("doc_id"))
+    told = docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= 5)
+    grams = told.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(5))))).alias("gram"))
+    few = F.broadcast if long.count() <= SHORT else lambda df: df
+    hit = grams.join(few(long.select("gram").distinct()), "gram", "left_semi").join(long, "gram").select("doc_id", "passage").distinct()
+    hit = hit.join(docs, "doc_id").filter(F.col("text").contains(F.col("passage"))).select("doc_id")
+    n = short.count()
+    if n:
+        hit = hit.union(docs.join(F.broadcast(short), F.col("text").contains(F.col("passage"))).select("doc_id") if n <= SHORT else by_windows(docs, short))
     return t.documents.select("doc_id").join(hit, "doc_id", "left_anti")
+
+
+#: Short passages up to this number are broadcast, and first characters by which more of them meet documents.
+SHORT, FIRST = 10_000, 8
+
+
+def by_windows(docs, short):
+    """Ids of documents that hold a short passage: an equi-join on runs of as many characters as it has, FIRST at most."""
+    size = F.least(F.length("passage"), F.lit(FIRST))
+    keyed = short.withColumn("size", size).withColumn("run", F.expr("substr(passage, 1, size)"))
+    out = None
+    for n in sorted(r[0] for r in keyed.select("size").distinct().collect()):  # FIRST + 1 at most
+        if n == 0:
+            found = docs.filter(F.col("text").isNotNull()).select("doc_id")
+        else:
+            places = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - (n - 1))).otherwise(F.array().cast("array<int>"))
+            runs = docs.select("doc_id", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("text", i, F.lit(n))))).alias("run"))
+            pairs = runs.join(keyed.filter(F.col("size") == n).select("run", "passage"), "run").select("doc_id", "passage")
+            found = pairs.join(docs, "doc_id").filter(F.col("text").contains(F.col("passage"))).select("doc_id")
+        out = found if out is None else out.union(found)
+    return out
