@@ -80,15 +80,18 @@ TEMPLATE = InstructionTemplate()
 def locate(turns: Turns, render: Callable[[Turns], str]) -> tuple[str, list[tuple[int, int, int, int]], list[int]]:
     """Rendered text; per turn its span and its text's span; turns at which history is rewritten."""
     before, spans, rewritten = render([]), [], []
+    mark = MARK
+    while any(mark in part for turn in turns for part in turn):
+        mark += MARK  # longer than any run of it that is there
     for i, (role, _) in enumerate(turns):
         after = render(turns[: i + 1])
-        marked = render([*turns[:i], (role, MARK)])
+        marked = render([*turns[:i], (role, mark)])
         start = len(before)
         if not after.startswith(before):
             rewritten.append(i)
             start = len(commonprefix([before, after]))
-        at = marked.find(MARK, start)
-        tail = len(marked) - at - len(MARK)
+        at = marked.find(mark, start)
+        tail = len(marked) - at - len(mark)
         if at < 0 or after[:at] != marked[:at] or (tail and after[-tail:] != marked[-tail:]):
             if not rewritten or rewritten[-1] != i:
                 rewritten.append(i)

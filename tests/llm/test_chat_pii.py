@@ -131,3 +131,12 @@ def test_planted_data_is_found(spark):
         own = [i for i, k in planted.items() if k == kind]
         assert sum(kind in got[i] for i in own) / len(own) >= 0.9, kind
     assert sum(not got[i] for i, _ in rows if i not in planted) / 600 >= 0.97
+
+
+def test_marker_inside_roles_and_texts():
+    from gristmill.llm import chatformat as cf
+
+    turns = [("user" + cf.MARK, "a" + cf.MARK * 2), ("assistant", cf.MARK), ("user", "b")]
+    text, spans, rewritten = cf.locate(turns, cf.TEMPLATE)
+    assert not rewritten
+    assert [cf.TEMPLATE.unescape(text[a:b]) for _, _, a, b in spans] == [t for _, t in turns]
