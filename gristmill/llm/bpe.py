@@ -252,22 +252,38 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """Digest columns of encoded and decoded rows."""
+    """Digest columns of encoded and decoded rows; `n_split` is kept where it is there."""
     return df.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *(["n_split"] if "n_split" in df.columns else []),
     )
 
 
+def _round_tripper(path: str, pattern: str) -> Callable:
+    def run(batches):
+        c = codec(path, pattern)
+        for batch in batches:
+            at = 0
+            for slab in slabs(batch.column(1)):
+                ids = c.encode(slab)
+                spans = [c.offsets(t, i) for t, i in zip(slab, ids)]
+                split = [int((start[1:] < end[:-1]).sum()) for start, end in spans]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(slab)), int_lists(ids), pa.array([c.decode(i) for i in ids], pa.binary()), pa.array(split, pa.int64())], names=["doc_id", "ids", "decoded", "n_split"])
+                at += len(slab)
+        c.trim()
+
+    return run
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode whole texts, decode the ids, and return the digests of both.
 
-    Encoder and decoder run one behind the other in the same worker.
+    `n_split` counts neighbouring ids whose offsets share a character that is split
+    between them.  Encoder and decoder run one behind the other in the same worker.
     """
     ship(docs.sparkSession)
-    encoder, decoder = _encoder(path, pattern, ["doc_id"], False), _decoder(path, pattern, ["doc_id", "ids"])
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)])
-    both = docs.select("doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(tidy(lambda batches: decoder(encoder(batches))), schema)
-    return digests(both)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False), T.StructField("n_split", T.LongType(), False)])
+    return digests(docs.select("doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(tidy(_round_tripper(path, pattern)), schema))

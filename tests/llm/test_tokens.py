@@ -68,3 +68,25 @@ def test_grammar_round_trip_and_random_access():
     for bad in (blob[:-1], blob + b"x", b"XXXX" + blob[4:]):
         with pytest.raises(ValueError):
             tokenstore.Shard(bad)
+
+
+def test_round_trip_of_odd_tables(spark):
+    got = {r.doc_id: r for r in bpe.round_trip(spark.createDataFrame([(1, "é😀 a"), (2, "plain words"), (3, None)], "doc_id long, text string"), RANKS, P.PATTERN).collect()}
+    ids = bpe.encode(spark.createDataFrame([(1, "é😀 a")], "doc_id long, text string"), RANKS, P.PATTERN, offsets=True).collect()[0]
+    assert got[1].n_split == sum(a < b for a, b in zip(ids.starts[1:], ids.ends[:-1])) > 0
+    assert (got[2].n_split, got[3].n_split, got[3].n_tokens) == (0, 0, 0)
+    assert bpe.round_trip(rows(spark).limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_dealt_apart(spark):
+    told = [(5, f"text {i % 40}") for i in range(200)] + [(None, f"none {i}") for i in range(30)] + [(1, "first"), (9, "last")]
+    df = spark.createDataFrame(told, "doc_id long, text string")
+    tok = Tokenizer.from_file(JSON)
+    got = sorted(tokenstore.read_shards(tokenstore.write_shards(df, JSON, P.PATTERN)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 30 + [1] + [5] * 200 + [9]
+    start = 0
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+    want = sorted(zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, t in told)
+    assert sorted(r.ids_crc32 for r in got) == want
