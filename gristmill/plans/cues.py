@@ -57,18 +57,27 @@ def _hits(c: str) -> Column:
 def asked(spark, t) -> DataFrame:
     """Questions with their words, given variables and the tokens that may name a variable."""
     q = t.part.withColumn("source", C("p_partkey") % _n).join(F.broadcast(R.records(spark)), C("source") == C("ord")).select("p_partkey", "source", F.expr(ASKED).alias("q"))
+    return read(q)
+
+
+def read(questions: DataFrame) -> DataFrame:
+    """`questions` (with text `q`) and what ranking reads in them."""
     left = C("q")
     for p in EXEMPT:
         left = F.regexp_replace(left, p, "$1 $3")
-    return q.select(
+    return questions.select(
         "*", F.array_distinct(F.regexp_extract_all(F.lower("q"), F.lit("[a-z]{3,}"), F.lit(0))).alias("qw"), F.translate("q", " ()", "").alias("nq"),
         F.array_distinct(F.regexp_extract_all("q", F.lit(GIVEN), F.lit(1))).alias("have"), F.regexp_extract_all(left, F.lit(TOKEN), F.lit(1)).alias("tokens"),
     )
 
 
 def scored(spark, t) -> DataFrame:
-    """Every question with every relation and all cues."""
-    met = asked(spark, t).crossJoin(F.broadcast(R.records(spark)))  # a dimension of fixed length
+    return meet(spark, asked(spark, t))
+
+
+def meet(spark, questions: DataFrame) -> DataFrame:
+    """Every question (as `read` gives it) with every relation and all cues."""
+    met = questions.crossJoin(F.broadcast(R.records(spark)))  # a dimension of fixed length
     stop = F.array(*map(F.lit, STOP))
     variables = F.array(*map(F.lit, sorted({v for r in R.DECLARED for v in (x.split(" ")[0] for x in r.split(", "))})))
     met = met.withColumns({

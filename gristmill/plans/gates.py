@@ -61,9 +61,14 @@ _DOCS = f"WITH {_DOCS}, docs AS (SELECT * FROM {_step})"
 
 def documents(spark, t) -> DataFrame:
     """The clean and the spoilt corpus."""
+    return documents_of(spark, t.part)
+
+
+def documents_of(spark, part: DataFrame) -> DataFrame:
+    """The same from rows with p_partkey, p_name and p_size."""
     rel = R.records(spark).withColumns({"a": F.get("free", F.lit(0)), "b": F.get("free", F.lit(1))})
     own = F.element_at(F.array(*map(F.lit, PRODUCTS)), (C("p_partkey") % len(PRODUCTS) + 1).cast("int"))
-    parts = t.part.withColumn("corpus", F.explode(F.array(F.lit("clean"), F.lit("planted"))))
+    parts = part.withColumn("corpus", F.explode(F.array(F.lit("clean"), F.lit("planted"))))
     base = parts.select(*(F.expr(x) for x in _base.split(", ", 4)[:4]), "corpus", F.expr(_base.split("corpus, ", 1)[1]), own.alias("own")).join(F.broadcast(rel), C("own") == C("ord"))
     for field, text in FIELDS.items():
         base = base.withColumn(field, F.expr(text))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that define `QUERIES` (name -> function) and `ORACLE` (name -> SQL).
-MODULES: tuple[str, ...] = ("aggregates", "joins", "texts", "engine", "tools", "extras", "cues", "gates", "proofs", "classes", "stores")
+MODULES: tuple[str, ...] = ("aggregates", "joins", "texts", "engine", "tools", "extras", "cues", "gates", "proofs", "classes", "stores", "entry")
 
 
 def _merged(attribute: str) -> dict:
