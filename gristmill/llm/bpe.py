@@ -62,14 +62,15 @@ def merges_of_ranks(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 class ChunkCache(dict):
     """Ids of chunks as bytes; a chunk that is in neither generation is merged on the spot."""
 
-    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes]):
+    def __init__(self, make: Callable[[str], bytes], word: Callable[[str], bytes], old: dict[str, bytes]):
         super().__init__({"": b""})
-        self.make, self.old = make, old
+        self.make, self.word, self.old = make, word, old
 
     def __missing__(self, chunk: str) -> bytes:
         value = self.old.get(chunk)
         if value is None:
-            value = self.make(chunk)
+            body = chunk[1:]
+            value = self.word(body) if chunk[0] == " " and body.isascii() and body.isalpha() else self.make(chunk)
         self[chunk] = value
         return value
 
@@ -110,7 +111,9 @@ class Codec:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1] if size else np.zeros(0, np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
         self.entries = entries
-        self.cache = ChunkCache(self.merge, {})
+        blank, tokenize, code = chars[32], self.tokenize, self.code
+        self.word = lambda body: array(code, [x.id for x in tokenize(blank + body)]).tobytes()
+        self.cache = ChunkCache(self.merge, self.word, {})
 
     def chunks(self, text: str) -> list[str]:
         """Parts of `text` that the pattern never matches across.
@@ -144,14 +147,15 @@ class Codec:
         get = self.cache.__getitem__
         out = [np.frombuffer(b"".join(map(get, self.chunks(t))), self.dtype) for t in texts]
         if len(self.cache) > self.entries:
-            self.cache = ChunkCache(self.merge, dict(self.cache))
+            self.cache.old = {}
+            self.cache = ChunkCache(self.merge, self.word, self.cache)
         return out
 
     def trim(self) -> None:
         """Keep a bounded part of the cache between tasks."""
         oldest, kept = self.cache.old or self.cache, self.entries // 2
         if len(self.cache) + len(self.cache.old) > kept:
-            self.cache = ChunkCache(self.merge, dict(islice(oldest.items(), kept)))
+            self.cache = ChunkCache(self.merge, self.word, dict(islice(oldest.items(), kept)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of `ids`; they need not be whole characters until all are joined."""
