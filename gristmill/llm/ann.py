@@ -116,14 +116,20 @@ class SubstringIndex:
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.parts = codes.view(">u2").astype(np.uint16)
+        self.columns = np.ascontiguousarray(self.parts.T)
         self.order, self.starts = [], []
         for j in range(self.parts.shape[1]):
             self.order.append(np.argsort(self.parts[:, j], kind="stable"))
             self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(self.parts[:, j], minlength=1 << PART_BITS))]))
 
     def lookup(self, part: int, value: np.uint16, reach: int) -> np.ndarray:
-        """Rows whose substring is within `reach` of `value`: one look at each such value's place."""
+        """Rows whose substring is within `reach` of `value`: one look at each such value's place.
+
+        Where there are more such values than rows, the rows are looked at instead.
+        """
         masks, upto = probes()
+        if upto[min(reach, PART_BITS)] > len(self.codes):
+            return np.flatnonzero(np.bitwise_count(self.columns[part] ^ value) <= reach)
         at = (value ^ masks[: upto[min(reach, PART_BITS)]]).astype(np.int64)
         first, end = self.starts[part][at], self.starts[part][at + 1]
         full = end > first
