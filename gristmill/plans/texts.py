@@ -84,7 +84,7 @@ def non_ascii(spark, t):
 @book.query("SELECT doc_id, md5(upper(substr(s, 1, 1)) || substr(s, 2)) AS stem_md5 FROM (SELECT doc_id, regexp_replace(text, '^\\(?[a-z0-9]{1,2}[.)] *', '') AS s FROM documents)")
 def clean_stem(spark, t):
     s = F.regexp_replace("text", "^\\(?[a-z0-9]{1,2}[.)] *", "")
-    return t.documents.select("doc_id", F.md5(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 2**31 - 1))).alias("stem_md5"))
+    return t.documents.select("doc_id", F.md5(F.concat(X.capital(F.substring(s, 1, 1)), F.substring(s, 2, 2**31 - 1))).alias("stem_md5"))
 
 
 @book.query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'authored ' || p_brand ELSE p_name END AS name FROM part WHERE NOT (p_partkey % 10 <> 0 AND p_size > 45)")

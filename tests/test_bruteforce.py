@@ -164,3 +164,14 @@ def test_verifiers():
     assert verify.dimensions("E=m*c^2", {"E": "J", "m": "kg", "c": "m/s"}) == "ok" and verify.dimensions("E=m*c", {"E": "J", "m": "kg", "c": "m/s"}) == "fail"
     assert verify.shape("p=m*v", {"m": "2", "v": "3"}, "<tool>eval<arg>3*2</tool>") == ("OK", "")
     assert synthesis.agree("forces", "are", "is") == "forces are" and synthesis.agree("gas", "are", "is") != ""
+
+
+def test_stems_begin_with_one_capital(spark, tmp_path):
+    """Letters whose full capital is longer, and all others, as the oracle's SQL has them."""
+    import duckdb
+
+    texts = [None, "", "a) ", "1. ßheit", "(b) ŉ", "ﬁ", "ǰ x", "ᾳ", "ᾐ", "ᾘ", "ΐ", "և", "ı", "ǆ", "é", "ა", *(chr(c) + "z" for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000)]
+    at = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(at)
+    want = duckdb.execute(registry.oracle_sql()["clean_stem"].replace("FROM documents", f"FROM '{at}/*.parquet'")).fetchall()
+    assert {tuple(r) for r in Q["clean_stem"](spark, str(tmp_path)).collect()} == set(want) and len(want) == len(texts)
