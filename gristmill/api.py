@@ -14,9 +14,11 @@ from pyspark.sql import types as T
 
 from .functions import expr
 from .functions import sql as S
+from .operators import relations as R
 from .operators import verify
 from .plans import cues, gates
 from .plans.stores import REFUSES
+from .session import ship
 
 C = F.col
 
@@ -38,20 +40,24 @@ def rank(spark: SparkSession, questions: DataFrame, k: int = 3) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(best)).filter(C("rank") <= k).select("id", "rank", "ord", "name", "score")
 
 
+def _sure(spark: SparkSession, questions: DataFrame) -> DataFrame:
+    """id, q, ord and formula of each id's best relation; ord and formula are null where it is not sure."""
+    ship(spark)
+    best = cues.judged(questions, "id", "q").select("id", "top.*")
+    sure = (C("relation_bonus") > 0) | (C("bound") & ~C("others")) | ((C("open_words") > 0) & (100 * C("covered") >= 75 * C("open_words")))
+    formula = F.get(F.array(*(F.lit(f) for f, _, _ in R.RELATIONS)), C("ord").cast("int"))
+    return best.select("id", "q", F.when(sure, C("ord")).alias("ord"), F.when(sure, formula).alias("formula"))
+
+
 def ask(spark: SparkSession, questions: DataFrame) -> DataFrame:
     """The relation that a question is sure of, or none: id, ord, formula."""
-    met = cues.meet(spark, cues.read(questions.select("id", "q")))
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "ord")
-    sure = (C("relation_bonus") > 0) | (C("bound") & ~C("others")) | ((C("open_words") > 0) & (100 * C("covered") >= 75 * C("open_words")))
-    top = met.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-    return top.select("id", F.when(sure, C("ord")).alias("ord"), F.when(sure, C("formula")).alias("formula"))
+    return _sure(spark, questions).select("id", "ord", "formula")
 
 
 def prompt(spark: SparkSession, questions: DataFrame) -> DataFrame:
     """id and the prompt of each question, with its relation or with none."""
-    q = questions.select("id", "q").join(ask(spark, questions), "id")
     none = F.concat(F.lit("<q>"), "q", F.lit("</q><r>none | missing:none | no matching relation | fit:low<a>"))
-    return q.select("id", F.coalesce(F.concat(F.lit("<q>"), "q", F.lit("</q><r>"), "formula", F.lit(" | missing:none | fit:high<a>")), none).alias("prompt"))
+    return _sure(spark, questions).select("id", F.coalesce(F.concat(F.lit("<q>"), "q", F.lit("</q><r>"), "formula", F.lit(" | missing:none | fit:high<a>")), none).alias("prompt"))
 
 
 def well_formed(g: Column) -> Column:

@@ -5,6 +5,13 @@ dimension of fixed length that is broadcast."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +63,12 @@ def _hits(c: str) -> Column:
 
 def asked(spark, t) -> DataFrame:
     """Questions with their words, given variables and the tokens that may name a variable."""
-    q = t.part.withColumn("source", C("p_partkey") % _n).join(F.broadcast(R.records(spark)), C("source") == C("ord")).select("p_partkey", "source", F.expr(ASKED).alias("q"))
-    return read(q)
+    return read(posed(spark, t))
+
+
+def posed(spark, t) -> DataFrame:
+    """The question of each part, as text."""
+    return t.part.withColumn("source", C("p_partkey") % _n).join(F.broadcast(R.records(spark)), C("source") == C("ord")).select("p_partkey", "source", F.expr(ASKED).alias("q"))
 
 
 def read(questions: DataFrame) -> DataFrame:
@@ -97,6 +108,99 @@ def meet(spark, questions: DataFrame) -> DataFrame:
     return met.withColumn("score", F.expr("name_score + coverage_bonus + relation_bonus + family_cue + noun_cue + supplied"))
 
 
+@lru_cache(1)
+def _sheet() -> SimpleNamespace:
+    """What each word and each variable of the store adds to each relation: matrices with a column a relation."""
+    columns, rows = R.dimension()
+    store = [dict(zip(columns, row)) for row in rows]
+    if len(store) > 62:
+        raise ValueError("sets of relations are the bits of a long")
+    words = sorted({w for r in store for c in ("words", "asked", "mentioned", "nouns") for w in r[c]} | set(STOP))
+    names = sorted({v for r in store for v in [r["lhs"], *r["vars"]]})
+
+    def summed(vocabulary: list[str], of) -> np.ndarray:
+        out = np.zeros((len(vocabulary), len(store)))
+        for i, r in enumerate(store):
+            for w, x in of(r):
+                out[vocabulary.index(w), i] += x
+        return out
+
+    adds = {
+        "matched": lambda r: ((w, 1) for w in r["words"]), "name_score": lambda r: zip(r["words"], r["weights"]), "noun_cue": lambda r: ((w, 48) for w in r["nouns"]),
+        "family_cue": lambda r: [*((w, 32) for w in r["asked"]), *((w, 16) for w in r["mentioned"])], "covered": lambda r: ((w, 1) for w in r["words"] if w not in STOP),
+    }
+    formulas = [r["formula"] for r in store]
+    return SimpleNamespace(
+        words=pa.array(words), adds=list(adds), by_word=np.concatenate([summed(words, f) for f in adds.values()], axis=1), stop=np.array([w in STOP for w in words]),
+        names=pa.array(names), free=summed(names, lambda r: ((v, 1) for v in r["free"])), lhs=np.array([names.index(r["lhs"]) for r in store]), variable=np.array([any(v in r["vars"] for r in store) for v in names]),
+        terms=np.array([len(r["words"]) for r in store]), inputs=np.array([len(r["free"]) for r in store]), bit=np.array([1 << formulas.index(f) for f in formulas]),
+        parts=[(i, r[c]) for i, r in enumerate(store) for c, held in (("nf", len(r["nf"]) >= 4), ("nr", r["op"])) if held],
+    )
+
+
+def _held(lists: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `vocabulary` each list holds, and the lists' lengths; null lists are empty."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = pc.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), len(vocabulary)))
+    out[np.repeat(np.arange(len(sizes)), sizes)[at >= 0], at[at >= 0]] = 1
+    return out, sizes
+
+
+JUDGED = "score long, ord long, relation_bonus long, bound boolean, others boolean, covered long, open_words long, bound_set long, pick_score long, pick long, pick_others boolean, pick_set long"
+
+
+def _judge(qw: pa.Array, nq: pa.Array, have: pa.Array, tokens: pa.Array) -> list[pa.Array]:
+    """The columns JUDGED of some questions: the cues of `meet` with all relations at once."""
+    s = _sheet()
+    told, n_words = _held(qw, s.words)
+    given, n_given = _held(have, s.names)
+    said, _ = _held(tokens, s.names)
+    cue = dict(zip(s.adds, np.split((told @ s.by_word).astype(np.int64), len(s.adds), axis=1)))
+    used = (given @ s.free).astype(np.int64)
+    bonus = np.zeros(used.shape, np.int64)
+    for i, part in s.parts:
+        bonus[:, i] += 48 * len(part) * pc.match_substring(nq, part).fill_null(False).to_numpy(zero_copy_only=False)
+    score = cue["name_score"] + cue["name_score"] * cue["matched"] ** 2 // s.terms**2 + bonus + cue["family_cue"] + cue["noun_cue"] + 16 * used + 32 * used**2 // s.inputs**2
+    bound = (n_given[:, None] > 0) & (n_given[:, None] == s.inputs) & (used == s.inputs)
+    open_names = (said > 0) & (given == 0) & s.variable
+    others = open_names.sum(1)[:, None] - open_names[:, s.lhs] > 0
+    named = bound & (said[:, s.lhs] > 0)
+    row, best, pick = np.arange(len(score)), score.argmax(1), np.where(named, score, -1).argmax(1)
+    none = ~named.any(1)
+    union = lambda held: np.bitwise_or.reduce(np.where(held, s.bit, 0), axis=1)
+    n_open = n_words - (told[:, s.stop] > 0).sum(1)
+    out = [pa.array(x) for x in (score[row, best], best, bonus[row, best], bound[row, best], others[row, best], cue["covered"][row, best], n_open, union(bound))]
+    return [*out, *(pa.array(x, mask=none) for x in (score[row, pick], pick, others[row, pick])), pa.array(union(named))]
+
+
+def _judge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split(" ")[0] for f in JUDGED.split(", ")]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2_000):
+            part = batch.slice(at, 2_000)
+            kept = part.schema.names[:-4]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-4], *(x.cast(t) for x, t in zip(_judge(*part.columns[-4:]), _ARROW))], names=[*kept, *names])
+
+
+_ARROW = [pa.bool_() if f.endswith("boolean") else pa.int64() for f in JUDGED.split(", ")]
+
+
+def judged(questions: DataFrame, key: str, *keep: str) -> DataFrame:
+    """One row per `key`: its best relation (`top`, with `keep` of that question), the best of those that the givens bind
+    and the question names (`own`), and the sets of formulas (bits) that are bound and that are bound and named.
+
+    The cues and the order are those of `meet` and `ranked`, but a question meets the whole store in matrices of an
+    Arrow batch; no row is made per question and relation.
+    """
+    dealt = questions.select(*dict.fromkeys((key, *keep, "q"))).repartition(F.xxhash64(key, "q"))  # a table of one file is one task
+    known = read(dealt).select(key, *keep, "qw", "nq", "have", "tokens")
+    rows = known.mapInArrow(_judge_all, ", ".join([*(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in (key, *keep)), JUDGED]))
+    top = F.struct("score", (-C("ord")).alias("least"), "ord", "relation_bonus", "bound", "others", "covered", "open_words", *keep)
+    own = F.when(C("pick").isNotNull(), F.struct("pick_score", (-C("pick")).alias("least"), C("pick").alias("ord"), C("pick_others").alias("others")))
+    return rows.groupBy(key).agg(F.max(top).alias("top"), F.max(own).alias("own"), F.bit_or("bound_set").alias("bound_set"), F.bit_or("pick_set").alias("pick_set"))
+
+
 def ranked(spark, t) -> DataFrame:
     best = Window.partitionBy("p_partkey").orderBy(F.desc("score"), "ord")
     return scored(spark, t).withColumn("rank", F.row_number().over(best))

@@ -35,7 +35,7 @@ def api_rank(spark, t):
 def api_prompt(spark, t):
     from .. import api
 
-    return api.prompt(spark, cues.asked(spark, t).select(C("p_partkey").alias("id"), "q"))
+    return api.prompt(spark, cues.posed(spark, t).select(C("p_partkey").alias("id"), "q"))
 
 
 @book.query(f"""{G._DOCS} SELECT id, corpus, true AS well_formed, ans LIKE '%cannot%' OR regexp_matches(q || record, '\\bmissing\\b') AS is_refusal,
