@@ -293,7 +293,8 @@ def exempt_letters(spark, t):
   LEFT JOIN (SELECT * FROM picked WHERE NOT others) p USING (p_partkey)""")
 def confident_rules(spark, t):
     """The first rule that is certain decides: relation, symbol, givens, coverage; else no relation is taken."""
-    top = _rules(spark, t).join(_symbol(scored(spark, t)), "p_partkey", "left")
+    symbol = F.when((F.bit_count("pick_set") == 1) & ~C("own.others"), C("own.ord"))
+    top = judged(posed(spark, t), "p_partkey").select("p_partkey", "top.*", F.bit_count("bound_set").alias("formulas"), symbol.alias("pick"))
     cover = (C("open_words") > 0) & (F.expr("100 * covered div open_words") >= 75)
     rule = F.when(C("relation_bonus") > 0, "relation").when(C("pick").isNotNull(), "symbol").when(C("bound") & (C("formulas") == 1) & ~C("others"), "givens").when(cover, "coverage").otherwise("refuse")
     return top.withColumn("rule", rule).select("p_partkey", F.when(C("rule") == "symbol", C("pick")).when(C("rule") != "refuse", C("ord")).alias("ord"), "rule")

@@ -177,7 +177,7 @@ def test_stems_begin_with_one_capital(spark, tmp_path):
     assert {tuple(r) for r in Q["clean_stem"](spark, str(tmp_path)).collect()} == set(want) and len(want) == len(texts)
 
 
-@pytest.mark.parametrize("name", ["api_prompt"])
+@pytest.mark.parametrize("name", ["api_prompt", "confident_rules"])
 def test_questions_meet_the_store_without_a_row_each(spark, tmp_path, name):
     """Odd questions and repeated keys as the oracle's SQL has them, and no row per question and relation."""
     import duckdb
