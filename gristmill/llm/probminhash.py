@@ -46,6 +46,8 @@ SMALL = 16
 MAP_LONGS = 16
 #: Bits of the cell of a shingle, by which common shingles are told from rare ones.
 CELL_BITS = 20
+#: Cells whose counts are one row between tasks.
+BLOCK_CELLS = 1 << 14
 CACHE_WORDS = 50_000
 SALT = 256
 
@@ -271,7 +273,7 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits[i, (h % U(64 * MAP_LONGS)).astype(np.int64)] = True
         maps = np.packbits(bits, axis=1).view(np.int64)
         sizes = pa.array([len(h) for h in hashes], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(total, pa.int64()), *(pa.array(maps[:, j].copy()) for j in range(MAP_LONGS))], names=["node", "d", "t", *(f"m{j}" for j in range(MAP_LONGS))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(list(total), pa.int64()), *(pa.array(maps[:, j].copy()) for j in range(MAP_LONGS))], names=["node", "d", "t", *(f"m{j}" for j in range(MAP_LONGS))])
 
 
 def open_buckets(bands: DataFrame, labels: DataFrame) -> DataFrame:
@@ -300,13 +302,38 @@ def cell_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def _cell_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many nodes hold a shingle of each cell, per task."""
+    """How many nodes hold a shingle of each cell, per task: a row per block of cells that it met."""
     total = np.zeros(1 << CELL_BITS, np.int64)
     for batch in batches:
         for hashes, _ in _read(batch):
             np.add.at(total, cell_of(hashes), 1)
-    cells = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+    blocks, cells, counts = [], [], []
+    for i, part in enumerate(total.reshape(-1, BLOCK_CELLS)):
+        at = np.flatnonzero(part)
+        if len(at):
+            blocks.append(i)
+            cells.append(at.astype(np.uint16).tobytes())
+            counts.append(part[at].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], names=["block", "cells", "counts"])
+
+
+def _block_adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of each block, as counts of all its cells."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, cells, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            own = total.setdefault(block, np.zeros(BLOCK_CELLS, np.int64))
+            own[np.frombuffer(cells.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+
+
+def cell_counts(told: DataFrame) -> np.ndarray:
+    """Nodes of `told` (node, hashes, counts) per cell of their shingles; tasks send blocks of cells, not cells."""
+    blocks = told.mapInArrow(tidy(_cell_counter), "block long, cells binary, counts binary").repartition("block")
+    out = np.zeros(((1 << CELL_BITS) // BLOCK_CELLS, BLOCK_CELLS), np.int64)
+    for block, counts in zip(*blocks.mapInArrow(tidy(_block_adder), "block long, counts binary").toArrow().columns):
+        out[block.as_py()] += np.frombuffer(counts.as_buffer(), np.int64)
+    return out.reshape(-1).astype(np.int32)
 
 
 def _prefixer(common: np.ndarray, room: float) -> Callable:
@@ -340,7 +367,7 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits[i, (h % U(64 * MAP_LONGS)).astype(np.int64)] = True
         maps = np.packbits(bits, axis=1).view(np.int64)
         sizes = pa.array([len(h) for h in hashes], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(total, pa.int64()), *(pa.array(maps[:, j].copy()) for j in range(MAP_LONGS))], names=["node", "d", "t", *(f"m{j}" for j in range(MAP_LONGS))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(list(total), pa.int64()), *(pa.array(maps[:, j].copy()) for j in range(MAP_LONGS))], names=["node", "d", "t", *(f"m{j}" for j in range(MAP_LONGS))])
 
 
 def open_buckets(bands: DataFrame, labels: DataFrame) -> DataFrame:
@@ -386,9 +413,7 @@ def rest_pairs(nodes: DataFrame, shingled: DataFrame, threshold: float) -> DataF
     """
     room = 1 / threshold - 1 + 1e-6
     told = stored(shingled.join(nodes, "node", "left_semi").select("node", "hashes", "counts"), "near-told")
-    counted = told.mapInArrow(tidy(_cell_counter), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    common = np.zeros(1 << CELL_BITS, np.int32)
-    common[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    common = cell_counts(told)
     prefix = stored(told.mapInArrow(tidy(_prefixer(common, room)), "h long, node binary, x double").join(nodes, "node"), "near-prefixes")
     per = prefix.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"))
     blocks = per.groupBy("h").agg(F.max(F.struct("n", "label"))["label"].alias("chief"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")

@@ -108,3 +108,16 @@ def test_copies_are_dropped_by_row(spark):
     rows = [(1, base), (None, near), (None, other), (7, near), (7, third), (None, ""), (7, None)]
     left = pm.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, left), key=str) == sorted([(1, base), (None, other), (7, third), (None, ""), (7, None)], key=str)
+
+
+def test_cells_are_counted_in_blocks(spark):
+    """Counts equal plain ones, and a task sends a bounded number of rows however many shingles it reads."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = [(bytes([i]), rng.integers(0, 2**64, 4000, np.uint64)) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows]), pa.array([h.tobytes() for _, h in rows]), pa.array([b""] * len(rows))], names=["node", "hashes", "counts"])
+    assert sum(b.num_rows for b in pm._cell_counter(iter([batch]))) <= 64
+    told = spark.createDataFrame([(n, h.tobytes(), b"") for n, h in rows], "node binary, hashes binary, counts binary").repartition(7)
+    want = np.bincount(np.concatenate([(h >> np.uint64(44)).astype(np.int64) for _, h in rows]), minlength=1 << 20)
+    assert (pm.cell_counts(told) == want).all() and not pm.cell_counts(told.filter("false")).any()
