@@ -20,7 +20,6 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,10 @@ from pyspark.sql import types as T
 from .common import ship, tidy
 
 #: Entries of each of the two generations of a task's chunk cache; a worker keeps half as
-#: many for its next task (the first seen, so mostly frequent ones).
+#: many for its next task (the first seen, so mostly frequent ones) unless told another number.
 CACHE_ENTRIES = 60_000
 #: White space other than blanks and line feeds.
-ODD_SPACE = re.compile(r"[^\S \n]")
+ODD_SPACE = tuple(c for c in map(chr, range(0x10000)) if re.match(r"[^\S \n]", c))
 #: Bytes of text handled together.
 SLAB = 1 << 21
 
@@ -78,7 +77,7 @@ class ChunkCache(dict):
 class Codec:
     """Encoder and decoder of one vocabulary file, with a bounded two-generation cache."""
 
-    def __init__(self, path: str, pattern: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, pattern: str, entries: int = CACHE_ENTRIES, kept: int | None = None):
         import regex
         from tokenizers import Tokenizer, models
 
@@ -110,7 +109,7 @@ class Codec:
             self.lengths[i] = len(raw)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1] if size else np.zeros(0, np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
-        self.entries = entries
+        self.entries, self.kept = entries, entries // 2 if kept is None else kept
         blank, tokenize, code = chars[32], self.tokenize, self.code
         self.word = lambda body: array(code, [x.id for x in tokenize(blank + body)]).tobytes()
         self.cache = ChunkCache(self.merge, self.word, {})
@@ -121,7 +120,7 @@ class Codec:
         A blank before a word starts a match of its own, and so does a line feed between
         words.  Texts with longer runs of white space are cut by the pattern itself.
         """
-        if "  " in text or "\n\n" in text or " \n" in text or text[-1:] in (" ", "\n") or "\0" in text or ODD_SPACE.search(text):
+        if "  " in text or "\n\n" in text or " \n" in text or text[-1:] in (" ", "\n") or "\0" in text or any(map(text.__contains__, ODD_SPACE)):
             return self.find(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -153,9 +152,10 @@ class Codec:
 
     def trim(self) -> None:
         """Keep a bounded part of the cache between tasks."""
-        oldest, kept = self.cache.old or self.cache, self.entries // 2
-        if len(self.cache) + len(self.cache.old) > kept:
-            self.cache = ChunkCache(self.merge, self.word, dict(islice(oldest.items(), kept)))
+        self.cache = self.cache.old or self.cache
+        self.cache.old = {}
+        while len(self.cache) > self.kept:
+            self.cache.popitem()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of `ids`; they need not be whole characters until all are joined."""
@@ -177,8 +177,8 @@ class Codec:
 
 
 @lru_cache(1)
-def codec(path: str, pattern: str, entries: int = CACHE_ENTRIES) -> Codec:
-    return Codec(path, pattern, entries)
+def codec(path: str, pattern: str, entries: int = CACHE_ENTRIES, kept: int | None = None) -> Codec:
+    return Codec(path, pattern, entries, kept)
 
 
 def slabs(texts: pa.Array) -> Iterator[list[str]]:

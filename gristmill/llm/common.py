@@ -69,6 +69,16 @@ def released() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def roomy(mb: int = 64) -> None:
+    """Let this worker keep up to `mb` of freed memory, so that arrays made again and again are not mapped anew."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, mb << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, mb << 20)  # M_TRIM_THRESHOLD
+
+
 def tidy(run: Callable) -> Callable:
     """A Python task that hands freed memory back when it ends; workers outlive tasks."""
 

@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, slabs
-from .common import ship, stored, tidy
+from .common import roomy, ship, stored, tidy
 
-#: Entries of a generation of the encoder's chunk cache.
-CACHE_ENTRIES = 500_000
+#: Entries of a generation of the encoder's chunk cache; as many stay for a worker's next task.
+CACHE_ENTRIES = 750_000
 #: Ids of one shard, at least one document.
 SHARD_IDS = 1 << 20
 #: Pairs replaced in a round, and the least count of a pair: each round costs a pass, so
@@ -54,23 +54,37 @@ def frequent_pairs(left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> tuple
     """Codes of the most frequent pairs and, per position, the index of its pair or -1.
 
     A table of hashed counts finds the positions that can matter; only those are
-    counted exactly.
+    counted exactly: one pair of each hash by its hash, others with that hash by sorting.
     """
-    hashed = ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(14)
-    hashed[~ok] = 1 << 18
+    mixed = left * np.uint32(2654435761)
+    mixed ^= right * np.uint32(2246822519)
+    mixed >>= np.uint32(14)
+    hashed = mixed.astype(np.intp)
+    hashed[np.flatnonzero(~ok)] = 1 << 18
     counts = np.bincount(hashed, minlength=(1 << 18) + 1)
     counts[1 << 18] = 0
     floor = max(LEAST, int(np.partition(counts, -2 * PAIRS)[-2 * PAIRS]))
-    at = np.flatnonzero((counts >= floor)[hashed])
-    codes = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-    pairs, which, n = np.unique(codes, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(counts >= floor)
+    slot = np.full((1 << 18) + 1, -1, np.int32)
+    slot[often] = np.arange(len(often), dtype=np.int32)
+    which = slot.take(hashed)
+    at = np.flatnonzero(which >= 0)
+    which = which.take(at)
+    codes = left.take(at).astype(np.uint64) << np.uint64(32) | right.take(at)
+    chief = np.zeros(len(often), np.uint64)
+    chief[which] = codes
+    stray = np.flatnonzero(chief[which] != codes)
+    more, place = np.unique(codes[stray], return_inverse=True)
+    which[stray] = len(chief) + place
+    pairs = np.concatenate([chief, more])
+    n = np.bincount(which, minlength=len(pairs))
     order = np.argsort(-n, kind="stable")[:PAIRS]
     order = order[n[order] >= LEAST]
     rank = np.full(len(pairs), -1, np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     which = rank[which]
-    kept = which >= 0
-    return pairs[order], np.stack([at[kept], which[kept]]) if len(at) else np.zeros((2, 0), np.int64)
+    kept = np.flatnonzero(which >= 0)
+    return pairs[order], np.stack([at[kept], which[kept]])
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,11 +101,13 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int) -> tuple[np.n
             break
         fresh = np.concatenate([[True], np.diff(at) != 1])  # of overlapping places every other one is replaced
         since = np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        at, which = at[since % 2 == 0], which[since % 2 == 0]
+        since = np.flatnonzero(since & 1 == 0)
+        at, which = at[since], which[since]
         x[at] = (made + which).astype(np.uint32)
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
-        x, head = x[keep], head[keep]
+        keep = np.flatnonzero(keep)  # places are read several times faster than a mask
+        x, head = x.take(keep), head.take(keep)
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         made += len(pairs)
     return x, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), np.flatnonzero(head).astype(np.uint32)
@@ -162,7 +178,8 @@ class Shard:
 
 def _writer(path: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern, CACHE_ENTRIES)
+        roomy()
+        c = codec(path, pattern, CACHE_ENTRIES, CACHE_ENTRIES)
         first_rule = len(c.lengths) + 1
         end = np.array([end_id], np.uint32)
         docs: list[int | None] = []

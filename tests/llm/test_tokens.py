@@ -90,3 +90,45 @@ def test_rows_that_repeat_an_id_are_dealt_apart(spark):
         start += r.n_tokens
     want = sorted(zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, t in told)
     assert sorted(r.ids_crc32 for r in got) == want
+
+
+def test_pairs_of_one_hash_are_counted_apart():
+    """The most frequent pairs and their places equal plain counting, also where two pairs share a hash."""
+    from collections import Counter
+
+    import numpy as np
+
+    from gristmill.llm import tokenstore as ts
+
+    hashed = {}
+    for a in range(1, 1200):
+        for b in range(1, 600):
+            hashed.setdefault(((a * 2654435761 % 2**32) ^ (b * 2246822519 % 2**32)) >> 14, []).append((a, b))
+        if a >= 60 and sum(len(x) > 1 for x in hashed.values()) > 40:
+            break
+    same = [x[:2] for x in hashed.values() if len(x) > 1][:40]
+    units = [p for i, two in enumerate(same) for p, n in zip(two, (50 + i, 40)) for _ in range(n)]
+    x = np.array([v for i in np.random.default_rng(3).permutation(len(units)) for v in (*units[i], 0)], np.uint32)
+    ok = (x[:-1] != 0) & (x[1:] != 0)
+    pairs, (at, which) = ts.frequent_pairs(x[:-1], x[1:], ok)
+    want = Counter(int(a) << 32 | int(b) for a, b, c in zip(x[:-1], x[1:], ok) if c)
+    told = Counter(pairs[which].tolist())
+    assert set(pairs.tolist()) == {p for p, n in want.items() if n >= ts.LEAST} and all(told[p] == want[p] for p in told)
+    assert all(pairs[w] == np.uint64(int(x[i]) << 32 | int(x[i + 1])) for i, w in zip(at.tolist(), which.tolist()))
+
+
+def test_a_worker_keeps_chunks_as_told():
+    """The store's encoder keeps a whole generation for the next task, and does not copy it again."""
+    import public_tokenizers
+
+    from gristmill.llm import bpe
+
+    c = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 100, 100)
+    c.encode([" ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(90))])
+    c.encode([" ".join(f"v{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(90))])
+    c.trim()
+    kept = dict(c.cache)
+    assert 50 < len(kept) <= 100 and " wbk" in kept
+    c.encode([" ".join(f"u{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(90))])
+    c.trim()
+    assert len(c.cache) <= 100 and kept.items() <= c.cache.items()
